@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +70,13 @@ def numbered(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), ran
     return out.withColumn(rank, (F.col("_own") + F.col("_off")).cast("long")).drop("_own", "_off", "_part", "_n", *[f"_t_{n}" for n in sums])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made from one stays small."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 _shipped: set[str] = set()
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import slices, stored, table
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
@@ -61,7 +61,7 @@ def measured(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     window = rules.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [measures(t, window) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([r[k] for r in rows], type=pa.int64()) for k in range(5)]], names=["doc_id", "source", *NAMES])
 
@@ -109,7 +109,7 @@ def accepted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     window = rules.window
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index("text")
             keep = []
             for t in b.column(at).to_pylist():
