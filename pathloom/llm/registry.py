@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import ann, chat, lines, mixing, neardup, packing, planes, quality, warc, wordpiece
 from .common import ship
 
@@ -21,7 +23,7 @@ def _shipped(f: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in _FUNCTIONS}
+    return {f.__name__: _shipped(f) for f in _FUNCTIONS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
