@@ -1 +1 @@
-
+"""The algebra: bindings, triples and path operators."""
