@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401
+
 #: A word of a text, as the job defines it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,28 +70,9 @@ def numbered(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), ran
     return out.withColumn(rank, (F.col("_own") + F.col("_off")).cast("long")).drop("_own", "_off", "_part", "_n", *[f"_t_{n}" for n in sums])
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that what is made from one stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches (of about `size` bytes at most), so that what is made from one stays small."""
     for b in batches:
-        for a in range(0, b.num_rows, rows):
-            yield b.slice(a, rows)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each application, so that it needn't be installed there."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    root = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as d:
-        path = Path(d, f"{root.name}-{uuid.uuid4().hex}.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        kept = Path(tempfile.mkdtemp(prefix="pathloom-code-"), path.name)
-        kept.write_bytes(path.read_bytes())
-    sc.addPyFile(str(kept))
+        n = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
+        for a in range(0, b.num_rows, n):
+            yield b.slice(a, n)

@@ -1,13 +1,19 @@
-"""Token ids of whole texts by the tokenizers library, with a cache of encoded words."""
+"""Token ids of whole texts by the tokenizers library, each distinct word of a batch being encoded once."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -17,92 +23,137 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, equal to the library's own encoding of the whole text.
+    """Encodes texts to unsigned 32-bit ids, equal to the library's own encoding of the whole text.
 
     A byte-level BPE vocabulary with the usual pattern merges nothing across a space that stands before a visible character,
-    so a text falls into words there and each word's ids can be looked up. Words seen often stay in a cache of a fixed number
-    of entries; all others are encoded by the library. Texts that hold an added token's string, and vocabularies of another
-    kind, go to the library as a whole.
+    nor between letters, signs and new lines. So a batch falls into words, its distinct words are encoded, and the ids of all
+    texts are gathered from theirs. Words seen early stay in a cache of a fixed number of entries. Texts that hold an
+    added token's string, and vocabularies of another kind, go to the library as a whole.
     """
 
-    def __init__(self, path: str, entries: int = 1 << 19):
+    def __init__(self, path: str, entries: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         pre = kind.get("pre_tokenizer") or {}
-        self.by_word = kind["model"]["type"] == "BPE" and kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not kind.get("post_processor")
+        usual = kind["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.by_word = bool(usual) and sys.byteorder == "little" and array("I").itemsize == 4 and not kind.get("normalizer") and not kind.get("post_processor")
         self.added = [x["content"] for x in kind.get("added_tokens", [])]
         self.entries = entries
-        self.cache: dict[str, bytes | bool] = {}
+        self.cache: dict[str, bytes | None] = {}
+        # The byte-level alphabet: visible bytes stand for themselves, the others for the characters from 256 on, in order.
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in seen]
+        self.alphabet = {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.safe = re.compile("[!-~À-ɏ]")
-        self.starts = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, dtype=bool)
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.starts[i] = piece.startswith("Ġ")  # the byte-level alphabet's sign for a space
+        self.parts = re.compile(f"([{_LETTERS}]+)([{_SIGNS}]*)(?:\\n([{_LETTERS}]+)([{_SIGNS}]*))?\\Z")
+        self.bare: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in encode(texts, add_special_tokens=False)]
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in encode(texts, add_special_tokens=False)] if texts else []
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Of words that each begin with the only space they hold: encoded as one text, whose ids part where a space begins."""
-        if not words:
+    def _stretches(self, texts: list[str]) -> list[bytes]:
+        """Of texts without new lines that are one stretch of the pattern each: the model alone encodes them."""
+        if not texts:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        at = np.flatnonzero(self.starts[ids])
-        if len(at) != len(words):
-            return self._library(words)
-        data, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
-        return [data[a:b] for a, b in zip((at * 4).tolist(), ends)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        written = "\n".join(texts).encode().decode("latin-1").translate(self.alphabet).split(self.alphabet[10])
+        tokenize = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in written]
+
+    def _without_space(self, words: set[str]) -> None:
+        """Fills the cache of words, or runs of signs, that no space precedes."""
+        if len(self.bare) > self.entries // 4:
+            self.bare = {}
+        new = [w for w in words if w not in self.bare]
+        plain = [w for w in new if re.fullmatch(f"[{_LETTERS}]+|[{_SIGNS}]+", w)]
+        self.bare.update(zip(plain, self._stretches(plain)))
+        rest = [w for w in new if w not in self.bare]
+        self.bare.update(zip(rest, self._library(rest)))
+
+    def _with_space(self, words: list[str]) -> list[bytes | None]:
+        """Of distinct words that a space precedes; None where there is no sure boundary before that space."""
+        cache, parts = self.cache, self.parts.match
+        new = [w for w in words if w not in cache]
+        single, joined, odd, bare = set(), [], [], {"\n"}
+        for w in new:
+            m = parts(w)
+            if m is None:
+                odd.append(w)
+            elif m.end(1) == len(w):
+                single.add(w)
+            else:
+                groups = m.groups("")
+                joined.append((w, groups))
+                if groups[0] not in cache:
+                    single.add(groups[0])
+                bare.update(groups[1:])
+        letters = list(single)
+        cache.update(zip(letters, self._stretches([" " + w for w in letters])))
+        self._without_space(bare)
+        known = self.bare
+        for w, (a, b, c, d) in joined:
+            cache[w] = cache[a] + known[b] + known["\n"] + known[c] + known[d] if c else cache[a] + known[b]
+        sure = [w for w in odd if self.safe.match(w)]
+        cache.update(dict.fromkeys(odd))
+        cache.update(zip(sure, self._library([" " + w for w in sure])))
+        out = [cache[w] for w in words]
+        for _ in range(len(cache) - self.entries):  # the newest go, words seen early are mostly the frequent ones
+            cache.popitem()
+        return out
+
+    def _by_chunks(self, text: str) -> bytes:
+        """Of a text where some spaces are no sure boundary."""
+        if any(a in text for a in self.added):
+            return self._library([text])[0]
+        first, *words = text.split(" ")
+        chunks = [first]
+        for w in words:
+            if self.safe.match(w):
+                chunks.append(" " + w)
+            else:
+                chunks[-1] += " " + w
+        distinct = list({c for c in chunks if c})
+        ids = dict(zip(distinct, self._library(distinct)))
+        return b"".join([ids[c] for c in chunks if c])
+
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a column without nulls."""
         if not self.by_word:
-            return self._library(texts)
-        cache, split = self.cache, [t.split(" ") for t in texts]
-        first = [words.pop(0) for words in split]
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(cache.keys())
-        match = self.safe.match
-        plain = [w for w in new if match(w)]
-        for a in range(0, len(plain), 1024):
-            cache.update(zip(plain[a : a + 1024], self._words([" " + w for w in plain[a : a + 1024]])))
-        cache.update(dict.fromkeys((w for w in new if not match(w)), False))  # no sure boundary before these
-        whole = [any(a in t for a in self.added) for t in texts]
-        heads = list({h for h in first if h})
-        head = dict(zip(heads, self._library(heads)))
-        head[""] = b""
-        out, later = [], []
-        for i, words in enumerate(split):
-            try:
-                if whole[i]:
-                    raise TypeError
-                out.append(head[first[i]] + b"".join(map(cache.__getitem__, words)))
-            except TypeError:
-                out.append(b"")
-                later.append(i)
-        for i in later:
-            if whole[i]:
-                out[i] = self._library([texts[i]])[0]
-                continue
-            chunks = [first[i]]
-            for w in split[i]:
-                if cache[w] is False:
-                    chunks[-1] += " " + w
-                else:
-                    chunks.append(" " + w)
-            known = lambda c: c[:1] == " " and cache.get(c[1:])
-            odd = list({c for c in chunks if c and not known(c)})
-            extra = dict(zip(odd, self._library(odd)))
-            out[i] = b"".join([known(c) or extra.get(c, b"") for c in chunks])
-        if len(cache) > self.entries:
-            for w in list(cache)[self.entries :]:  # the newest go, words seen early are mostly the frequent ones
-                del cache[w]
+            return [np.frombuffer(x, dtype="<u4") for x in self._library(texts.to_pylist())]
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        starts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int32)
+        ids = self._with_space(distinct)
+        heads = index[starts[:-1]]
+        first = np.unique(heads)
+        self._without_space({distinct[k] for k in first.tolist()})
+        unsure = np.array([x is None for x in ids], dtype=bool)
+        table = [x or b"" for x in ids] + [self.bare[distinct[k]] for k in first.tolist()]
+        is_head = np.zeros(len(index), dtype=bool)
+        is_head[starts[:-1]] = True
+        later = np.add.reduceat((unsure[index] & ~is_head).astype(np.int32), starts[:-1]) > 0
+        for a in self.added:
+            later |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        index[starts[:-1]] = len(distinct) + np.searchsorted(first, heads)
+        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+        flat, at = np.frombuffer(b"".join(table), dtype="<u4"), np.cumsum(sizes) - sizes
+        each = sizes[index]
+        ends = np.cumsum(each)
+        small = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+        place = np.repeat((at[index] - (ends - each)).astype(small), each)
+        place += np.arange(ends[-1], dtype=small)
+        gathered = flat[place]
+        bounds = np.concatenate([[0], ends[starts[1:] - 1]])
+        out = [gathered[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for k in np.flatnonzero(later).tolist():
+            out[k] = np.frombuffer(self._by_chunks(texts[k].as_py()), dtype="<u4")
         return out
 
 

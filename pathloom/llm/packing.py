@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, stored, table
+from .common import numbered, slices, stored, table
 from .encode import encoder, vocabulary_path
 
 WINDOW, DEPTH = 1024, 3
@@ -108,15 +108,16 @@ def encoded(docs: DataFrame, *, window: int, vocabulary: str, end_id: int) -> Da
     """For each row: key, doc_id, doc_tokens, crcs of its full windows, rest (length of the remainder), rest_crc and rest_ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, enc = TaskContext.get().partitionId() << 40, encoder(vocabulary).encode
-        end, w = np.array([end_id], dtype="<u4").tobytes(), 4 * window
-        for b in batches:
+        key, enc = TaskContext.get().partitionId() << 40, encoder(vocabulary).encode_column
+        end = np.array([end_id], dtype="<u4")
+        for b in slices(batches, 4000):
             out = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc(b.column(1).to_pylist())):
-                ids += end
-                full = len(ids) // w
-                tail = ids[full * w :]
-                out.append((key, doc_id, len(ids) // 4, [zlib.crc32(ids[a * w : a * w + w]) for a in range(full)], full, len(tail) // 4, zlib.crc32(tail), np.frombuffer(tail, dtype="<u4").astype("<u2").tobytes() if w and not np.frombuffer(tail, dtype=np.uint16)[1::2].any() else tail))
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc(b.column(1))):
+                ids = np.concatenate([ids, end])
+                full = len(ids) // window
+                tail = ids[full * window :]
+                narrow = tail.astype("<u2") if not (tail >> 16).any() else tail
+                out.append((key, doc_id, len(ids), [zlib.crc32(ids[a * window : (a + 1) * window]) for a in range(full)], full, len(tail), zlib.crc32(tail), narrow.tobytes()))
                 key += 1
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=t) for k, t in enumerate(kinds)], names=["key", "doc_id", "doc_tokens", "crcs", "full", "rest", "rest_crc", "rest_ids"])
