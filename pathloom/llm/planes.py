@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, slices, table
 from .encode import encoder, vocabulary_path
 from .files import created, opened
 
@@ -136,16 +136,16 @@ def write_planes(docs: DataFrame, path: str, *, vocabulary: str | None = None, e
     spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode
-        uri, end = f"{path}/ids-{part:06d}.planes", np.array([end_id], dtype="<u4").tobytes()
+        part, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode_column
+        uri, end = f"{path}/ids-{part:06d}.planes", np.array([end_id], dtype="<u4")
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         with created(uri) as out:
             w = Writer(out, by, block, level)
-            for b in (x for y in ([first], batches) for x in y):
-                for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
-                    w.add(doc_id, np.frombuffer(ids + end, dtype="<u4"))
+            for b in slices((x for y in ([first], batches) for x in y), 4000):
+                for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1))):
+                    w.add(doc_id, np.concatenate([ids, end]))
             w.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "n_docs": [len(w.docs)], "n_ids": [w.n_ids]})
 
