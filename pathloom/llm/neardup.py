@@ -63,10 +63,10 @@ def idf(docs: DataFrame, s: Settings) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, total, n = Shingler(s.width), np.zeros(s.cells, dtype=np.int64), 0
-        for b in slices(batches):
+        for b in slices(batches, 4000):
             held, size = [], 0
-            for t in b.column(0).to_pylist():
-                cells = np.unique((shingler(t) >> np.uint64(20)) % np.uint64(s.cells))
+            for h in shingler(b.column(0)):
+                cells = np.unique((h >> np.uint64(20)) % np.uint64(s.cells))
                 held.append(cells.astype(np.int64))
                 size += len(cells)
                 n += 1
@@ -98,10 +98,9 @@ def idf(docs: DataFrame, s: Settings) -> np.ndarray:
     return np.clip(np.log((n + 1) / np.maximum(df, 1)) / np.log(s.cells), 0, 1).astype(np.float32)
 
 
-def weighted(shingler: Shingler, text: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """weights: of each cell."""
-    h, n = shingler.counted(text)
-    return h, n * weights[((h >> np.uint64(20)) % np.uint64(len(weights))).astype(np.int64)]
+def weighted(shingler: Shingler, texts: pa.Array, weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The shingles of each text and their weights; weights: of each cell."""
+    return [(h, n * weights[((h >> np.uint64(20)) % np.uint64(len(weights))).astype(np.int64)]) for h, n in shingler.counted(texts)]
 
 
 def signed(lean: DataFrame, weights, s: Settings) -> DataFrame:
@@ -110,8 +109,8 @@ def signed(lean: DataFrame, weights, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sampler, w = Shingler(s.width), WeightedSampler(s.samples), weights.value
         factor = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x5851F42D4C957F2D & (1 << 64) - 1 for k in range(s.rows)], dtype=np.uint64)
-        for b in slices(batches):
-            sets = [weighted(shingler, t, w) for t in b.column(3).to_pylist()]
+        for b in slices(batches, 4000):
+            sets = weighted(shingler, b.column(3), w)
             full = [i for i, x in enumerate(sets) if len(x[0])]
             samples: list = [None] * len(sets)
             bands: list = [None] * len(sets)
@@ -159,9 +158,10 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, s: Settings) -> DataFr
         links: list[tuple] = []
         if left.num_rows and right.num_rows:
             shingler, w = Shingler(s.width), weights.value
-            own = weighted(shingler, right.column("own_text")[0].as_py(), w)
-            for a, b, text in zip(*[left.column(c).to_pylist() for c in ("a", "b", "text")]):
-                if weighted_jaccard(own, weighted(shingler, text, w)) >= s.similarity:
+            own = weighted(shingler, right.column("own_text").combine_chunks()[:1], w)[0]
+            others = weighted(shingler, left.column("text").combine_chunks(), w)
+            for a, b, other in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), others):
+                if weighted_jaccard(own, other) >= s.similarity:
                     links.append((a, b))
         return pa.table({"a": pa.array([x[0] for x in links], type=pa.int64()), "b": pa.array([x[1] for x in links], type=pa.int64())})
 

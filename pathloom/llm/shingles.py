@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)  # odd
@@ -18,32 +20,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes windows of `width` words; a text of fewer words is one shingle, one without words none."""
 
-    def __init__(self, width: int = 5, entries: int = 1 << 18):
-        self.width, self.entries, self.cache = width, entries, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").split()
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        cache = self.cache
-        for w in set(words).difference(cache):
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-        if len(cache) > self.entries:
-            for w in list(cache)[self.entries :]:
-                del cache[w]
-        n = max(1, len(h) - self.width + 1)
-        if len(h) < self.width:
-            h = np.concatenate([h, np.zeros(self.width - len(h), dtype=np.uint64)])
+    def __init__(self, width: int = 5):
+        self.width = width
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The shingles of each text of a column without nulls, in the text's order. Each distinct word is hashed once."""
+        if not len(texts):
+            return []
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = split.flatten()
+        filled = pc.greater(pc.binary_length(words), 0)
+        ends = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        coded = words.filter(filled).dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
+        h = np.concatenate([own[coded.indices.to_numpy()], np.zeros(self.width - 1, dtype=np.uint64)])
+        n = len(h) - self.width + 1
         out = np.zeros(n, dtype=np.uint64)
         for k in range(self.width):
             out = (out ^ h[k : k + n]) * _MULTIPLIERS[k % 5] + np.uint64(k + 1)
-        return mixed(out)
-
-    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles, ascending, and how often each occurs."""
-        h = self(text)
-        return np.unique(h, return_counts=True) if len(h) else (h, np.zeros(0, dtype=np.int64))
+        out = mixed(out)
+        found = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            if b - a >= self.width or b == a:
+                found.append(out[a : max(a, b - self.width + 1)])
+            else:
+                x = np.zeros(1, dtype=np.uint64)
+                for k in range(self.width):
+                    x = (x ^ (h[a + k] if a + k < b else np.uint64(0))) * _MULTIPLIERS[k % 5] + np.uint64(k + 1)
+                found.append(mixed(x))
+        return found
+
+    def counted(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Distinct shingles of each text, ascending, and how often each occurs."""
+        return [np.unique(h, return_counts=True) if len(h) else (h, np.zeros(0, dtype=np.int64)) for h in self(texts)]
 
 
 class WeightedSampler:
