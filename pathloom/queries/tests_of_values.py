@@ -44,13 +44,13 @@ def _even_digit_sum(p):
 
 
 _NUMBER = "CAST(regexp_extract(c, '^[0-9]+') AS BIGINT)"
-_constraint("c_true", lambda: C.always, "true")
-_constraint("c_false", lambda: C.never, "false")
+_constraint("c_true", C.always, "true")
+_constraint("c_false", C.never, "false")
 _constraint("c_and", lambda: C.all_of(C.text_is(F.col("s"), "F"), C.int_at_most(F.col("c"), 40)), f"s = 'F' AND {_NUMBER} <= 40")
 _constraint("c_or", lambda: C.any_of(C.text_is(F.col("s"), "F"), C.int_at_most(F.col("c"), 40)), f"s = 'F' OR {_NUMBER} <= 40")
 _constraint("c_not", lambda: C.none_of(C.text_is(F.col("s"), "F")), "s <> 'F'")
 _constraint("c_str", lambda: C.text_is(F.col("s"), "O"), "s = 'O'")
-_constraint("c_int_eq", lambda: C.int_equals(F.col("c"), "15"), "c = '15'")
+_constraint("c_int_eq", lambda: C.int_equals(F.col("c"), "14"), "c = '14'")
 _constraint("c_int_leq", lambda: C.int_at_most(F.col("c"), 15), f"{_NUMBER} <= 15")
 _constraint("c_int_geq", lambda: C.int_at_least(F.col("c"), 80), f"{_NUMBER} >= 80")
 _constraint("c_op", lambda: C.operator_in(F.substring("p", 1, 1), ["1", "3"]), "substr(p, 1, 1) IN ('1', '3')")
