@@ -81,12 +81,12 @@ def mix(docs: DataFrame, max_times: int = MAX_TIMES) -> DataFrame:
 def mixed(docs: DataFrame, max_times: int = MAX_TIMES) -> DataFrame:
     """The rows of docs as often as the mix takes them."""
     taken = copies(stored(_sized(docs), "sizes"), max_times)
-    among = Window.partitionBy("_key").orderBy("_size")
-    left = taken.select(F.col("key").alias("_key"), F.col("size").alias("_size"), "copies").withColumn("_nth", F.row_number().over(among))
+    among = Window.partitionBy("__mix_key").orderBy("__mix_size")
+    left = taken.select(F.col("key").alias("__mix_key"), F.col("size").alias("__mix_size"), F.col("copies").alias("__mix_copies")).withColumn("__mix_nth", F.row_number().over(among))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    right = docs.withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
-    rows = right.join(left.where("copies > 0"), ["_key", "_nth"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    right = docs.withColumn("__mix_key", key).withColumn("__mix_nth", F.row_number().over(Window.partitionBy("__mix_key").orderBy("doc_id")))
+    rows = right.join(left.where("__mix_copies > 0"), ["__mix_key", "__mix_nth"])
+    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:

@@ -194,9 +194,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 def distinct_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs, all columns, without those that a class has beside its least doc_id."""
-    gone = near_duplicates(docs, settings).where("not kept").select(F.col("doc_id").alias("_d"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    gone = near_duplicates(docs, settings).where("not kept").select(F.col("doc_id").alias("__dup_doc"), F.col("k1").alias("__dup_k1"), F.col("k2").alias("__dup_k2"))
     text = F.coalesce("text", F.lit(""))
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("_d")) & (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(text, F.lit(1)) == F.col("_k2")), "left_anti")
+    same = (F.col("doc_id").cast("long") == F.col("__dup_doc")) & (F.xxhash64(text) == F.col("__dup_k1")) & (F.xxhash64(text, F.lit(1)) == F.col("__dup_k2"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def accepted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that pass, with all their columns: rules are measured once for the hosts and once for the documents."""
     rows = measured(docs, rules).select("source", _failed(F.col("n_words"), F.col("n_repeat_words"), rules).alias("base_failed"))
-    bad = stored(host_verdicts(stored(_by_host(rows), "hosts"), rules).where("host_failed").select(F.col("source").alias("_bad_host")), "bad-hosts")
+    bad = stored(host_verdicts(stored(_by_host(rows), "hosts"), rules).where("host_failed").select(F.col("source").alias("__bad_host")), "bad-hosts")
     window = rules.window
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def accepted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             yield b.filter(pa.array(keep, type=pa.bool_()))
 
     good = docs.mapInArrow(passes, docs.schema)
-    return good.join(bad, good["source"].eqNullSafe(bad["_bad_host"]), "left_anti")
+    return good.join(bad, good["source"].eqNullSafe(bad["__bad_host"]), "left_anti")
 
 
 def op6_host_rules(spark, sf_dir: str) -> DataFrame:
