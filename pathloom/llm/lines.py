@@ -1,35 +1,68 @@
 """Line dedup, exact and fuzzy, by DataFrame operations only.
 
-Lines are normalised (lower case, digits as 0, punctuation and space runs as one space). Lines of equal normal form are one
-class from the start. Each class has a 128-bit SimHash of its words; classes whose hashes differ in at most 3 bits agree in
-one of 4 blocks of 32 bits (pigeonhole), so they meet in a join on (block, value). Candidates are verified by the edit
-similarity of their normal forms and connected groups of classes keep one occurrence: the first by doc_id, then by line.
+Lines are normalised to their words in lower case, parted by runs of ASCII characters that are no letters or digits. Lines of
+equal normal form are one class from the start. Each class has a 64-bit SimHash of its distinct words (the frequent words of a
+language would else decide it), in 4 blocks of 16 bits. Hashes that differ in at most 2 bits agree in at least 2 blocks (pigeonhole), so classes meet in a join on each pair of blocks: 6 keys of 32 bits.
+Candidates of at most `bits` differing bits are verified by the edit similarity of their normal forms, and connected groups
+of classes keep one occurrence: the first by doc_id, then by line.
 
-In a block's bucket all are compared with its most frequent class, and buckets of up to SMALL classes completely. In larger
-ones, members that the centre doesn't link meet again, all with the most frequent of those left, until each has been linked or
-has been a centre itself; so no bucket is compared as all pairs.
+In a key's bucket all are compared with its most frequent class. Buckets of up to `small` classes are also compared
+completely; in larger ones, each class is compared with its neighbours by text and by reversed text besides, as forms that differ in one
+place share all before it or all after it. So no bucket is compared as all pairs, and none is sorted by one task.
 
 Defined results: a null text has no lines and stays null; lines without a letter or digit are kept as they are; lines of more
-than MAX_WORDS words (half a megabyte or more) are matched by normal form only, as their sums of bits would not fit; rows
-equal in doc_id and text are one document; ties go to the least (doc_id, line), null doc_ids first; an empty table gives no
-rows; extra columns are ignored by `marked` and kept by `without_repeated_lines`.
+than MAX_WORDS distinct words (200 KB or more) are matched by normal form only, as their sums of bits would not fit; rows equal in
+doc_id and text are one document; ties go to the least (doc_id, line), null doc_ids first; an empty table gives no rows; extra
+columns are kept by `deduplicated` and `without_repeated_lines`, whose own new columns are _n_lines and _n_dropped.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import numbered, stored, table
 from .components import components
 
-MAX_WORDS = 65_535
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’–—…\t\r\x0b\x0c "
+MAX_WORDS = 32_767
+
+
+#: ASCII characters that are neither letters nor digits.
+_OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_ENDS = "".join(chr(k) for k in range(128) if not chr(k).isalnum())
+
+
+def normal_words(line: Column) -> Column:
+    return F.split(F.btrim(F.lower(line), F.lit(_ENDS)), _OTHER + "+")
+
+
+_LANES = sum(1 << k for k in range(0, 64, 16))
 
 
-def normal(line: Column) -> Column:
-    mapped = F.translate(F.lower(line), PUNCTUATION + "123456789", " " * len(PUNCTUATION) + "0" * 9)
-    return F.trim(F.regexp_replace(mapped, " {2,}", " "))
+def lane_sums(h: str) -> list[Column]:
+    """Of 64-bit hashes, how often each bit is set: s0 to s15, each with four counts of 16 bits for the bits k, k + 16, ..."""
+    return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(16)]
+
+
+def simhash(n: Column) -> Column:
+    """From s0 to s15, sums over n hashes: bit b is set where more than half of the hashes set it.
+
+    Adding 32767 - half to a lane carries a count above half into its top bit; the uppermost lane, whose top bit is the sign, is
+    compared by itself.
+    """
+    half = F.floor(n / 2).cast("long")
+    low, most = _LANES & (1 << 48) - 1, F.lit((1 << 48) - 1)
+    spare = (F.lit(32_767) - half) * F.lit(low)
+    out = None
+    for k in range(16):
+        count = F.col(f"s{k}")
+        above = F.shiftrightunsigned(count.bitwiseAND(most) + spare, 15).bitwiseAND(F.lit(low))
+        last = F.shiftleft((F.shiftrightunsigned(count, 48) > half).cast("long"), 48)
+        bits = F.shiftleft(above.bitwiseOR(last), k)
+        out = bits if out is None else out.bitwiseOR(bits)
+    return out
 
 
 def _doc_key(docs: DataFrame) -> list[Column]:
@@ -38,93 +71,89 @@ def _doc_key(docs: DataFrame) -> list[Column]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row for each line: k1, k2 (its document), doc_id, pos, h1, h2 (its normal form; null where empty), words, s1, s2 (its SimHash)."""
+    """One row for each line: k1, k2 (its document), doc_id, pos, h1, h2 (its normal form) and s (its SimHash), null where empty."""
     lean = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *_doc_key(docs), F.split("text", "\n").alias("lines"))
-    lines = lean.select("doc_id", "k1", "k2", F.posexplode("lines").alias("pos", "line")).withColumn("norm", normal(F.col("line")))
-    hashed = lines.select("doc_id", "k1", "k2", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), F.split("norm", " ").alias("ws"))
-    words = hashed.select("doc_id", "k1", "k2", "pos", "h1", "h2", F.explode("ws").alias("w"))
-    words = words.select("doc_id", "k1", "k2", "pos", "h1", "h2", (F.col("w") != "").cast("int").alias("one"), F.xxhash64("w").alias("a"), F.xxhash64("w", F.lit(1)).alias("b"))
-    lane = F.lit(0x0001000100010001)
-    sums = [F.sum(F.shiftrightunsigned(c, k).bitwiseAND(lane)).alias(f"{c}{k}") for c in ("a", "b") for k in range(16)]
-    got = words.groupBy("doc_id", "k1", "k2", "pos", "h1", "h2").agg(F.sum("one").alias("words"), *sums)
-    # A bit is set where more than half of the words set it: in each 16-bit lane, sum + 32768 - (words / 2 + 1) carries into the top bit.
-    half = F.floor(F.col("words") / 2).cast("long")
-
-    def folded(c: str) -> Column:
-        out = None
-        for k in range(16):
-            bits = None
-            for j in range(4):
-                count = F.shiftrightunsigned(F.col(f"{c}{k}"), 16 * j).bitwiseAND(F.lit(0xFFFF))
-                bit = F.shiftleft((count > half).cast("long"), 16 * j + k)
-                bits = bit if bits is None else bits.bitwiseOR(bit)
-            out = bits if out is None else out.bitwiseOR(bits)
-        return out
-
-    real = F.col("words") > 0
-    fit = real & (F.col("words") <= MAX_WORDS)
-    return got.select("k1", "k2", "doc_id", "pos", F.when(real, F.col("h1")).alias("h1"), F.when(real, F.col("h2")).alias("h2"), "words", F.when(fit, folded("a")).alias("s1"), F.when(fit, folded("b")).alias("s2"))
+    lines = lean.select("doc_id", "k1", "k2", F.posexplode("lines").alias("pos", "line"))
+    words = lines.select("doc_id", "k1", "k2", "pos", F.transform(normal_words(F.col("line")), lambda w: F.xxhash64(w)).alias("_hashes"))
+    real = (F.size("_hashes") > 1) | (F.col("_hashes")[0] != F.xxhash64(F.lit("")))
+    form = words.select("doc_id", "k1", "k2", "pos", F.when(real, F.xxhash64("_hashes")).alias("h1"), F.when(real, F.xxhash64("_hashes", F.lit(1))).alias("h2"), F.when(real, F.array_distinct("_hashes")).alias("_hashes"))
+    fit = form.withColumn("_hashes", F.when(F.size("_hashes") <= MAX_WORDS, F.col("_hashes")))
+    each = fit.select("doc_id", "k1", "k2", "pos", "h1", "h2", F.explode_outer("_hashes").alias("_h"))
+    sums = each.groupBy("doc_id", "k1", "k2", "pos", "h1", "h2").agg(F.count("_h").alias("_n"), *lane_sums("_h"))
+    return sums.select("k1", "k2", "doc_id", "pos", "h1", "h2", F.when(F.col("_n") > 0, simhash(F.col("_n"))).alias("s"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: c, k1, k2, pos. c and the normal form of that line."""
     by_doc = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "c")).alias("places"))  # a document's own lines
     lines = docs.where("text is not null").select(*_doc_key(docs), F.col("text")).join(by_doc, ["k1", "k2"]).select(F.split("text", "\n").alias("lines"), "places")
-    return lines.select("lines", F.explode("places").alias("p")).select(F.col("p.c").alias("c"), normal(F.element_at("lines", F.col("p.pos") + 1)).alias("norm")).dropDuplicates(["c"])
+    forms = lines.select("lines", F.explode("places").alias("p")).select(F.col("p.c").alias("c"), F.array_join(normal_words(F.element_at("lines", F.col("p.pos") + 1)), " ").alias("norm"))
+    return forms.groupBy("c").agg(F.min("norm").alias("norm"))
 
 
 def _check(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose edit distance is small enough for their length.
+
+    Words that both begin with and words that both end with don't count in the distance, so only what lies between is measured.
+    If as many words lie there in both, changing each differing word as a whole bounds the distance, which settles most pairs.
+    """
     both = pairs.join(texts.select(F.col("c").alias("a"), F.col("norm").alias("na")), "a").join(texts.select(F.col("c").alias("b"), F.col("norm").alias("nb")), "b")
     most = F.greatest(F.length("na"), F.length("nb"))
-    both = both.withColumn("allowed", F.floor(most * F.lit(1 - similarity) + 1e-9).cast("int"))
-    return both.where("abs(length(na) - length(nb)) <= allowed and levenshtein(na, nb, allowed) >= 0").select("a", "b")
+    both = both.withColumn("allowed", F.floor(most * F.lit(1 - similarity) + 1e-9).cast("int")).where("abs(length(na) - length(nb)) <= allowed")
+    split = both.select("a", "b", "allowed", F.split("na", " ").alias("wa"), F.split("nb", " ").alias("wb"))
+    differ = lambda x, y: ~x.eqNullSafe(y)
+    ahead = F.array_position(F.zip_with("wa", "wb", differ), True) - 1
+    behind = F.array_position(F.zip_with(F.reverse("wa"), F.reverse("wb"), differ), True) - 1
+    least = F.least(F.size("wa"), F.size("wb"))
+    same = split.withColumn("ahead", ahead.cast("int")).withColumn("behind", F.least(behind.cast("int"), least - F.col("ahead")))
+    middle = lambda w: F.slice(w, F.col("ahead") + 1, F.size(w) - F.col("ahead") - F.col("behind"))
+    inner = same.select("a", "b", "allowed", middle("wa").alias("ma"), middle("wb").alias("mb"))
+    swap = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y)))), F.lit(0), lambda t, x: t + x)
+    measured = F.expr("levenshtein(array_join(ma, ' '), array_join(mb, ' '), allowed) >= 0")
+    close = F.when((F.size("ma") == F.size("mb")) & (swap <= F.col("allowed")), True).otherwise(measured)
+    return inner.where(close).select("a", "b")
 
 
 def groups(docs: DataFrame, classes: DataFrame, *, similarity: float, bits: int, small: int) -> DataFrame:
-    """classes: c, n, first (k1, k2, doc_id, pos), s1, s2. c and group (least c) of the classes that fuzzy links join to others."""
-    hashed = classes.where("s1 is not null").select("c", "n", "s1", "s2")
-    block = lambda s, k: F.shiftrightunsigned(F.col(s), 32 * k).bitwiseAND(F.lit(0xFFFFFFFF))
-    keys = hashed.select("c", "n", "s1", "s2", F.posexplode(F.array(block("s1", 0), block("s1", 1), block("s2", 0), block("s2", 1))).alias("block", "value"))
-    sizes = keys.groupBy("block", "value").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("n", "c")).alias("top")).where("size > 1")
-    met = stored(keys.join(sizes, ["block", "value"]), "blocks")
-    near = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= bits
-    ends = hashed.select(F.col("c").alias("e"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    stars = met.select("c", "s1", "s2", F.col("top.c").alias("e")).join(ends, "e").where(near & (F.col("c") != F.col("e"))).select("c", "e")
-    few = met.where(F.col("size").between(3, small))
-    others = few.select("block", "value", F.col("c").alias("e"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    all_pairs = few.select("block", "value", "c", "s1", "s2").join(others, ["block", "value"]).where(near & (F.col("c") < F.col("e"))).select("c", "e")
-    pairs = stars.union(all_pairs).select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct()
-    pairs = stored(pairs, "line-pairs")
-    large = met.where(F.col("size") > small).select("block", "value", "c", "n", "s1", "s2", F.col("top.c").alias("centre"))
-    meant = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).union(large.select("c")).distinct()
-    wanted = meant.join(classes, "c").select("c", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"))
-    texts = stored(_texts(docs, wanted), "line-texts")
+    """classes: c, n, first (k1, k2, doc_id, pos), s. c and group (least c) of the classes that fuzzy links join to others."""
+    hashed = classes.where("s is not null").select("c", "n", "s")
+    block = lambda k: F.shiftrightunsigned(F.col("s"), 16 * k).bitwiseAND(F.lit(0xFFFF))
+    two = [F.shiftleft(block(i), 16).bitwiseOR(block(j)).bitwiseOR(F.lit(k << 32)) for k, (i, j) in enumerate(itertools.combinations(range(4), 2))]
+    keys = hashed.select("c", F.explode(F.array(*two)).alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = stored(keys.join(shared, "key").join(hashed, "c").select("key", "size", "c", "n", "s"), "keys")
+    tops = met.groupBy("key").agg(F.max(F.struct("n", "c", "s")).alias("top")).select("key", F.col("top.c").alias("e"), F.col("top.s").alias("t"))
+    near = F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= bits
+    found = met.join(tops, "key").where(near & (F.col("c") != F.col("e"))).select("c", "e")
+    few = met.where(F.col("size").between(3, small)).select("key", "c", "s")
+    others = few.select("key", F.col("c").alias("e"), F.col("s").alias("t"))
+    found = found.union(few.join(others, "key").where(near & (F.col("c") < F.col("e"))).select("c", "e"))
+    large = met.where(F.col("size") > small).select("key", "c", "s")
+    many = not large.isEmpty()
+    wanted = found.select("c").union(found.select("e"))
+    wanted = (wanted.union(large.select("c")) if many else wanted).distinct().join(classes, "c")
+    texts = stored(_texts(docs, wanted.select("c", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"))), "line-texts")
+    if many:
+        # Sixty-four characters from either end put near forms side by side; a tie is broken by the whole form's hash.
+        both = large.join(texts, "c")
+        head = both.select("key", "c", "s", F.concat(F.substring("norm", 1, 64), F.hex(F.xxhash64("norm"))).alias("by"))
+        tail = both.select("key", "c", "s", F.concat(F.reverse(F.substring("norm", -64, 64)), F.hex(F.xxhash64("norm"))).alias("by"))
+        for rows in (head, tail):
+            ordered = stored(numbered(rows, ["key", "by"], rank="at", name="line-order").select("key", "at", "c", "s"), "line-places")
+            ahead = ordered.select("key", F.col("c").alias("e"), F.col("s").alias("t"), (F.col("at") - 1).alias("at"))
+            found = found.union(ordered.join(ahead, ["key", "at"]).where(near).select("c", "e"))
+    pairs = stored(found.select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct(), "line-pairs")
     links = stored(_check(pairs, texts, similarity), "line-links")
-    found, left = [links], large
-    while True:
-        own = links.select(F.col("a").alias("c"), F.col("b").alias("centre")).union(links.select(F.col("b").alias("c"), F.col("a").alias("centre")))
-        left = stored(left.where("c <> centre").join(own, ["c", "centre"], "left_anti"), "line-rest")
-        if left.isEmpty():
-            break
-        tops = left.groupBy("block", "value").agg(F.max(F.struct("n", "c")).alias("top"))
-        left = left.drop("centre").join(tops.select("block", "value", F.col("top.c").alias("centre")), ["block", "value"])
-        whole = large.select("block", "value", "c", "s1", "s2").join(tops.select("block", "value", F.col("top.c").alias("e")), ["block", "value"]).join(ends, "e")
-        more = whole.where(near & (F.col("c") != F.col("e"))).select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct()
-        links = stored(_check(more, texts, similarity), "line-links")
-        found.append(links)
-    edges = found[0]
-    for x in found[1:]:
-        edges = edges.union(x)
-    return components(edges).select(F.col("node").alias("c"), F.col("component").alias("group"))
-
-
-def marked(docs: DataFrame, *, similarity: float = 0.9, bits: int = 3, small: int = 16) -> DataFrame:
+    return components(links).select(F.col("node").alias("c"), F.col("component").alias("group"))
+
+
+def marked(docs: DataFrame, *, similarity: float = 0.9, bits: int = 8, small: int = 16) -> DataFrame:
     """For each document (k1, k2): flags, an array that says of each line whether it is kept."""
     rows = stored(occurrences(docs), "lines")
     real = rows.where("h1 is not null")
     place = F.struct("doc_id", "k1", "k2", "pos")
-    classes = real.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min(F.struct("s1", "s2")).alias("s"))
-    classes = stored(classes.select(F.struct("h1", "h2").alias("c"), "n", "first", F.col("s.s1").alias("s1"), F.col("s.s2").alias("s2")), "line-classes")
+    classes = real.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min("s").alias("s"))
+    classes = stored(classes.select(F.struct("h1", "h2").alias("c"), "n", "first", "s"), "line-classes")
     fuzzy = groups(docs, classes, similarity=similarity, bits=bits, small=small)
     joined = classes.join(fuzzy, "c", "left").where("n > 1 or group is not null").select("c", "first", F.coalesce("group", "c").alias("group"))
     best = joined.groupBy("group").agg(F.min("first").alias("best"))
@@ -138,15 +167,15 @@ def marked(docs: DataFrame, *, similarity: float = 0.9, bits: int = 3, small: in
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs with their columns, text without the repeated lines, and n_lines and n_dropped."""
     names = docs.columns
-    flags = stored(marked(docs, **options), "line-flags").where(F.exists("flags", lambda x: ~x)).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("flags").alias("_flags"))
+    flags = stored(marked(docs, **options), "line-flags").where(F.exists("flags", lambda x: ~x)).select(F.col("k1").alias("__line_k1"), F.col("k2").alias("__line_k2"), F.col("flags").alias("__line_flags"))
     k1, k2 = _doc_key(docs)
-    joined = docs.withColumns({"_k1": k1, "_k2": k2}).join(flags, ["_k1", "_k2"], "left")
+    joined = docs.withColumns({"__line_k1": k1, "__line_k2": k2}).join(flags, ["__line_k1", "__line_k2"], "left")
     lines = F.split("text", "\n")
-    chosen = F.filter(F.zip_with(lines, "_flags", lambda x, keep: F.when(keep, x)), lambda x: x.isNotNull())
-    text = F.when(F.col("_flags").isNull(), F.col("text")).otherwise(F.array_join(chosen, "\n"))
-    dropped = F.coalesce(F.size(F.filter("_flags", lambda x: ~x)), F.lit(0))
+    chosen = F.filter(F.zip_with(lines, "__line_flags", lambda x, keep: F.when(keep, x)), lambda x: x.isNotNull())
+    text = F.when(F.col("__line_flags").isNull(), F.col("text")).otherwise(F.array_join(chosen, "\n"))
+    dropped = F.coalesce(F.size(F.filter("__line_flags", lambda x: ~x)), F.lit(0))
     n_lines = F.coalesce(F.size(lines), F.lit(0))
-    return joined.select(*[text.alias(n) if n == "text" else F.col(n) for n in names], n_lines.cast("long").alias("_n_lines"), F.when(F.col("_flags").isNull(), 0).otherwise(dropped).cast("long").alias("_n_dropped"))
+    return joined.select(*[text.alias(n) if n == "text" else F.col(n) for n in names], n_lines.cast("long").alias("_n_lines"), F.when(F.col("__line_flags").isNull(), 0).otherwise(dropped).cast("long").alias("_n_dropped"))
 
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:

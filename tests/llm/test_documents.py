@@ -252,9 +252,30 @@ def _simhash(words):
 
 def test_simhash(spark):
     rng = random.Random(6)
-    sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (0, 1, 2, 3, 50, 126, 127, 128, 129, 500)] + [[-1] * 127, [-1] * 300]
-    df = spark.createDataFrame([(x,) for x in sets], "h array<long>")
-    assert [r.s for r in df.select(lines.simhash(F.col("h")).alias("s")).collect()] == [_simhash(x) for x in sets]
+    sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 50, 127, 500)] + [[-1] * 127, [-1] * 32_767, [1 << 62] * 32_766 + [0]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "i long, h array<long>").select("i", F.explode("h").alias("h"))
+    sums = df.groupBy("i").agg(F.count("h").alias("n"), *lines.lane_sums("h"))
+    assert [r.s for r in sums.orderBy("i").select(lines.simhash(F.col("n")).alias("s")).collect()] == [_simhash(x) for x in sets]
+
+
+def test_edit_check_is_exact(spark):
+    """Stripping ends and bounding by words changes no verdict."""
+    rng = random.Random(9)
+    words = ["aa", "ab", "b", "cde", "cdf"]
+    pairs, texts = [], {}
+    for i in range(300):
+        a = [rng.choice(words) for _ in range(rng.randint(1, 12))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = [rng.choice(words)] if rng.random() < 0.7 else []
+        texts[2 * i], texts[2 * i + 1] = " ".join(a), " ".join(b)
+        if a != b and b:
+            pairs.append((2 * i, 2 * i + 1))
+    forms = spark.createDataFrame(list(texts.items()), "c long, norm string")
+    found = {tuple(r) for r in lines._check(spark.createDataFrame(pairs, "a long, b long"), forms, 0.8).collect()}
+    limit = lambda a, b: int(max(len(texts[a]), len(texts[b])) * (1 - 0.8) + 1e-9)
+    assert found == {(a, b) for a, b in pairs if _edit(texts[a], texts[b]) <= limit(a, b)}
 
 
 def _edit(a, b):
