@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..shipping import ship
-from . import algebra, patterns, pipeline, tests_of_values
+from . import algebra, patterns, pipeline, programs, tests_of_values
 
-MODULES = (algebra, tests_of_values, patterns, pipeline)
+MODULES = (algebra, tests_of_values, patterns, pipeline, programs)
 
 
 def _shipped(f: Callable) -> Callable:
