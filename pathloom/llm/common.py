@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,6 +72,19 @@ def numbered(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), ran
     return out.withColumn(rank, (F.col("_own") + F.col("_off")).cast("long")).drop("_own", "_off", "_part", "_n", *[f"_t_{n}" for n in sums])
 
 
+def trimming(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f for mapInArrow; when its rows are out, memory that is free goes back to the system. Workers outlive their tasks, and what
+    they keep is missing for the stages that follow on the same executor."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only some systems' C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches (of about `size` bytes at most), so that what is made from one stays small."""
     for b in batches:

@@ -31,7 +31,7 @@ class Encoder:
     added token's string, and vocabularies of another kind, go to the library as a whole.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

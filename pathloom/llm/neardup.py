@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import slices, stored, table, trimming
 from .components import components
 from .shingles import Shingler, WeightedSampler, mixed, weighted_jaccard
 
@@ -90,7 +90,7 @@ def idf(docs: DataFrame, s: Settings) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"chunk": list(sums), "counts": [x[0].tobytes() for x in sums.values()], "n": [x[1] for x in sums.values()]})
 
     schema = "chunk long, counts binary, n long"
-    partial = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, schema)
+    partial = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(trimming(count), schema)
     df, n = np.zeros(s.cells), 0
     for r in partial.repartition("chunk").mapInArrow(add, schema).collect():  # `cells` numbers in all, whatever the corpus
         df[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], dtype=np.int64)
@@ -121,7 +121,7 @@ def signed(lean: DataFrame, weights, s: Settings) -> DataFrame:
                     samples[i], bands[i] = x, y
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(samples, type=pa.list_(pa.int32())), pa.array(bands, type=pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "samples", "bands"])
 
-    return lean.mapInArrow(run, "doc_id long, k1 long, k2 long, samples array<int>, bands array<long>")
+    return lean.mapInArrow(trimming(run), "doc_id long, k1 long, k2 long, samples array<int>, bands array<long>")
 
 
 def candidate_pairs(nodes: DataFrame, s: Settings) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, slices, stored, table
+from .common import numbered, slices, stored, table, trimming
 from .encode import encoder, vocabulary_path
 
 WINDOW, DEPTH = 1024, 3
@@ -123,7 +123,7 @@ def encoded(docs: DataFrame, *, window: int, vocabulary: str, end_id: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=t) for k, t in enumerate(kinds)], names=["key", "doc_id", "doc_tokens", "crcs", "full", "rest", "rest_crc", "rest_ids"])
 
     lean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return lean.mapInArrow(encode, "key long, doc_id long, doc_tokens long, crcs array<long>, full long, rest long, rest_crc long, rest_ids binary")
+    return lean.mapInArrow(trimming(encode), "key long, doc_id long, doc_tokens long, crcs array<long>, full long, rest long, rest_crc long, rest_ids binary")
 
 
 def pack(docs: DataFrame, *, window: int = WINDOW, depth: int = DEPTH, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, table
+from .common import scratch, slices, table, trimming
 from .encode import encoder, vocabulary_path
 from .files import created, opened
 
@@ -151,7 +151,7 @@ def write_planes(docs: DataFrame, path: str, *, vocabulary: str | None = None, e
 
     lean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = lean.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = dealt.mapInArrow(write, "part long, file string, n_docs long, n_ids long")
+    manifest = dealt.mapInArrow(trimming(write), "part long, file string, n_docs long, n_ids long")
     manifest.write.parquet(f"{path}/manifest")
     rows = spark.read.parquet(f"{path}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import slices, stored, table, trimming
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
@@ -66,7 +66,7 @@ def measured(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([r[k] for r in rows], type=pa.int64()) for k in range(5)]], names=["doc_id", "source", *NAMES])
 
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    return lean.mapInArrow(run, "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    return lean.mapInArrow(trimming(run), "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -117,7 +117,7 @@ def accepted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 keep.append(not _failed(n, repeat, rules))
             yield b.filter(pa.array(keep, type=pa.bool_()))
 
-    good = docs.mapInArrow(passes, docs.schema)
+    good = docs.mapInArrow(trimming(passes), docs.schema)
     return good.join(bad, good["source"].eqNullSafe(bad["__bad_host"]), "left_anti")
 
 

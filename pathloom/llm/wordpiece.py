@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, trimming
 
 
 def rank_pieces(path: str) -> list[bytes]:
@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, *, vocabulary: str | None = None) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), type=pa.int64()), pa.array([n for n, _ in got], type=pa.int64()), pa.array([n for _, n in got], type=pa.int64())], names=["doc_id", "n_bytes", "n_words", "n_tokens"])
 
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return lean.mapInArrow(run, "doc_id long, n_bytes long, n_words long, n_tokens long")
+    return lean.mapInArrow(trimming(run), "doc_id long, n_bytes long, n_words long, n_tokens long")
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
