@@ -50,19 +50,19 @@ def simhash(n: Column) -> Column:
     """From s0 to s15, sums over n hashes: bit b is set where more than half of the hashes set it.
 
     Adding 32767 - half to a lane carries a count above half into its top bit; the uppermost lane, whose top bit is the sign, is
-    compared by itself.
+    compared by itself. The sums are folded as an array: written out for each, they make a method too large for the compiler.
     """
     half = F.floor(n / 2).cast("long")
     low, most = _LANES & (1 << 48) - 1, F.lit((1 << 48) - 1)
+
+    def add(bits: Column, x: Column) -> Column:
+        above = F.shiftrightunsigned(x["c"].bitwiseAND(most) + x["spare"], 15).bitwiseAND(F.lit(low))
+        last = F.shiftleft((F.shiftrightunsigned(x["c"], 48) > x["half"]).cast("long"), 48)
+        return bits.bitwiseOR(F.call_function("shiftleft", above.bitwiseOR(last), x["k"]))
+
     spare = (F.lit(32_767) - half) * F.lit(low)
-    out = None
-    for k in range(16):
-        count = F.col(f"s{k}")
-        above = F.shiftrightunsigned(count.bitwiseAND(most) + spare, 15).bitwiseAND(F.lit(low))
-        last = F.shiftleft((F.shiftrightunsigned(count, 48) > half).cast("long"), 48)
-        bits = F.shiftleft(above.bitwiseOR(last), k)
-        out = bits if out is None else out.bitwiseOR(bits)
-    return out
+    sums = F.array(*[F.struct(F.col(f"s{k}").alias("c"), F.lit(k).alias("k"), half.alias("half"), spare.alias("spare")) for k in range(16)])
+    return F.aggregate(sums, F.lit(0).cast("long"), add)
 
 
 def _doc_key(docs: DataFrame) -> list[Column]:
@@ -122,7 +122,7 @@ def groups(docs: DataFrame, classes: DataFrame, *, similarity: float, bits: int,
     keys = hashed.select("c", F.explode(F.array(*two)).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = stored(keys.join(shared, "key").join(hashed, "c").select("key", "size", "c", "n", "s"), "keys")
-    tops = met.groupBy("key").agg(F.max(F.struct("n", "c", "s")).alias("top")).select("key", F.col("top.c").alias("e"), F.col("top.s").alias("t"))
+    tops = met.groupBy("key").agg(F.max(F.struct("n", "s", "c")).alias("top")).select("key", F.col("top.c").alias("e"), F.col("top.s").alias("t"))
     near = F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= bits
     found = met.join(tops, "key").where(near & (F.col("c") != F.col("e"))).select("c", "e")
     few = met.where(F.col("size").between(3, small)).select("key", "c", "s")
@@ -136,12 +136,12 @@ def groups(docs: DataFrame, classes: DataFrame, *, similarity: float, bits: int,
     if many:
         # Sixty-four characters from either end put near forms side by side; a tie is broken by the whole form's hash.
         both = large.join(texts, "c")
-        head = both.select("key", "c", "s", F.concat(F.substring("norm", 1, 64), F.hex(F.xxhash64("norm"))).alias("by"))
-        tail = both.select("key", "c", "s", F.concat(F.reverse(F.substring("norm", -64, 64)), F.hex(F.xxhash64("norm"))).alias("by"))
-        for rows in (head, tail):
-            ordered = stored(numbered(rows, ["key", "by"], rank="at", name="line-order").select("key", "at", "c", "s"), "line-places")
-            ahead = ordered.select("key", F.col("c").alias("e"), F.col("s").alias("t"), (F.col("at") - 1).alias("at"))
-            found = found.union(ordered.join(ahead, ["key", "at"]).where(near).select("c", "e"))
+        form = lambda side, text: F.struct(F.lit(side).alias("side"), F.concat(text, F.hex(F.xxhash64("norm"))).alias("by"))
+        orders = F.array(form(0, F.substring("norm", 1, 64)), form(1, F.reverse(F.substring("norm", -64, 64))))
+        rows = both.select("key", "c", "s", F.explode(orders).alias("o")).select("key", "c", "s", "o.side", "o.by")
+        ordered = stored(numbered(rows, ["side", "key", "by"], rank="at", name="line-order").select("side", "key", "at", "c", "s"), "line-places")
+        ahead = ordered.select("side", "key", F.col("c").alias("e"), F.col("s").alias("t"), (F.col("at") - 1).alias("at"))
+        found = found.union(ordered.join(ahead, ["side", "key", "at"]).where(near).select("c", "e"))
     pairs = stored(found.select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct(), "line-pairs")
     links = stored(_check(pairs, texts, similarity), "line-links")
     return components(links).select(F.col("node").alias("c"), F.col("component").alias("group"))
@@ -153,11 +153,12 @@ def marked(docs: DataFrame, *, similarity: float = 0.9, bits: int = 8, small: in
     real = rows.where("h1 is not null")
     place = F.struct("doc_id", "k1", "k2", "pos")
     classes = real.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min("s").alias("s"))
-    classes = stored(classes.select(F.struct("h1", "h2").alias("c"), "n", "first", "s"), "line-classes")
+    # Numbers for classes are those of the stored table; nothing but ties between centres of equal SimHash hangs on them.
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("c"), "h1", "h2", "n", "first", "s"), "line-classes")
     fuzzy = groups(docs, classes, similarity=similarity, bits=bits, small=small)
-    joined = classes.join(fuzzy, "c", "left").where("n > 1 or group is not null").select("c", "first", F.coalesce("group", "c").alias("group"))
+    joined = classes.join(fuzzy, "c", "left").where("n > 1 or group is not null").select("h1", "h2", "first", F.coalesce("group", "c").alias("group"))
     best = joined.groupBy("group").agg(F.min("first").alias("best"))
-    repeated = stored(joined.join(best, "group").select(F.col("c.h1").alias("h1"), F.col("c.h2").alias("h2"), F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"), F.col("best.pos").alias("bp")), "repeated")
+    repeated = stored(joined.join(best, "group").select("h1", "h2", F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"), F.col("best.pos").alias("bp")), "repeated")
     kept = rows.join(repeated, ["h1", "h2"], "left")
     is_best = (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")) & (F.col("pos") == F.col("bp"))
     flags = kept.select("k1", "k2", F.struct("pos", F.coalesce(is_best, F.lit(True)).alias("keep")).alias("f"))
