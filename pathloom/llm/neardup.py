@@ -139,7 +139,7 @@ def candidate_pairs(nodes: DataFrame, s: Settings) -> DataFrame:
     few = shared.where(F.col("c").between(3, s.small)).select("band", "key", "d")
     all_pairs = few.join(few.withColumnRenamed("d", "e"), ["band", "key"]).where("d < e").select(F.col("d").alias("a"), F.col("e").alias("b"))
     pairs = stars.union(others).union(all_pairs).where("a <> b")
-    pairs = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a"), F.min("b").alias("b")).select("a", "b")
+    pairs = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")  # one of its orientations
     samples = nodes.select("d", "samples")
     both = pairs.join(samples.select(F.col("d").alias("a"), F.col("samples").alias("sa")), "a").join(samples.select(F.col("d").alias("b"), F.col("samples").alias("sb")), "b")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))

@@ -383,6 +383,17 @@ def test_op9(spark, prose, odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 4, 16, 17, 20])
+def test_op9_keeps_pairs_that_come_in_both_orientations(spark, n):
+    """The centre (it shares one more bucket) has the largest number of its bucket, so others of it come first in a pair."""
+    samples = list(range(48))
+    rows = [(d, samples, [7, 1000 + d]) for d in range(1, n)] + [(n, samples, [7, 5]), (n + 1, [-1] * 48, [1000, 5])]
+    found = {(r.a, r.b) for r in neardup.candidate_pairs(spark.createDataFrame(rows, "d long, samples array<int>, bands array<long>"), neardup.Settings()).collect()}
+    met = {(min(p), max(p)) for p in found}
+    assert len(met) == len(found) and all(a < b for a, b in met) and {(d, n) for d in range(1, n)} <= met
+    assert n > 16 or len(met) == n * (n - 1) // 2
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)]
