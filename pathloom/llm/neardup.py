@@ -5,10 +5,10 @@ frequencies are counted over all documents in a table of a fixed number of hashe
 share of documents at any size of the corpus. Smoothing is strong so that a group of copies, which makes its own shingles
 frequent, can't push its members below the threshold: a pair of plain similarity s keeps at least s / (s + (1 - s) (1 + SMOOTH)).
 
-Texts that are equal are one node from the start. Nodes that share a band are compared, not all with all: all with the most
-central member of the bucket (that of the largest buckets) and, in buckets of more than SMALL nodes, with another one picked by
-hash for each band; smaller buckets are compared completely. A member may thus meet up to one central and twelve other
-partners. Pairs whose samples agree too little to be of the threshold's similarity (by over four standard deviations) are not
+Texts that are equal are one node from the start. Nodes that share a band are compared. Buckets of up to SMALL nodes are
+compared completely. In larger ones, all are first compared with the most central member (that of the largest buckets) and with
+another one picked by hash for each band; then all pairs of them that are not in one class by now, in tiles of a bucket's blocks.
+So any two nodes of a bucket are compared or in one class. Pairs whose samples agree too little to be of the threshold's similarity (by over four standard deviations) are not
 read again; all others are verified on their whole texts. Linked nodes form classes (connected components).
 
 Defined results: null texts and texts without words belong to no class but their own; rows with a null doc_id too; rows that
@@ -18,7 +18,7 @@ share a doc_id are one document; ties go to the least doc_id; an empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,11 +124,16 @@ def signed(lean: DataFrame, weights, s: Settings) -> DataFrame:
     return lean.mapInArrow(trimming(run), "doc_id long, k1 long, k2 long, samples array<int>, bands array<long>")
 
 
-def candidate_pairs(nodes: DataFrame, s: Settings) -> DataFrame:
-    """nodes: d, samples, bands. Pairs (a, b) to verify; a is a bucket's centre."""
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """nodes: d, bands. d, band, key and c (its bucket's size), where that is above one."""
     keys = nodes.select("d", F.posexplode("bands").alias("band", "key"))
     sizes = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = stored(keys.join(sizes, ["band", "key"]), "bands")
+    return stored(keys.join(sizes, ["band", "key"]), "bands")
+
+
+def candidate_pairs(nodes: DataFrame, s: Settings, shared: DataFrame | None = None) -> DataFrame:
+    """nodes: d, samples, bands; shared: their `shared_bands`. Pairs (a, b) to verify first: all of small buckets, those with two members of large ones."""
+    shared = shared_bands(nodes) if shared is None else shared
     scores = shared.groupBy("d").agg(F.sum("c").alias("s"))
     scored = shared.join(scores, "d")
     centres = scored.groupBy("band", "key").agg(F.max(F.struct("s", -F.col("d"))).alias("m"), F.max(F.struct(F.xxhash64("d", "band").alias("h"), "d")).alias("o"))
@@ -168,6 +173,69 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, s: Settings) -> DataFr
     return members.groupBy("a", "salt").cogroup(centres.groupBy("own_a", "own_salt")).applyInArrow(compare, "a long, b long")
 
 
+def remaining_links(nodes: DataFrame, shared: DataFrame, links: DataFrame, texts_of: Callable[[DataFrame], DataFrame], weights, s: Settings) -> DataFrame | None:
+    """The similar pairs (a, b) among those that share a large bucket and that `links` leaves in different classes; None where there are
+    no such buckets. nodes: d, k1, k2, samples, bands; texts_of: gives d, k1, k2 and text of nodes (d). Nodes of one d are one document.
+
+    A bucket's members are dealt over blocks, and each two blocks (but those of its largest class) meet in a tile of its own: first their samples, then the texts of
+    those that agree enough with another. A pair belongs to the first band that it shares: where that is a small bucket, it was compared there.
+    """
+    large = shared.where(F.col("c") > s.small).select("band", "key", "d", "c").distinct()
+    if large.isEmpty():
+        return None
+    classes = components(links).select(F.col("node").alias("d"), "component")
+    members = large.join(classes, "d", "left").select("band", "key", "d", "c", F.coalesce("component", "d").alias("class"))
+    sizes = members.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "class")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    members = members.join(main.select("band", "key", F.col("m.n").alias("n"), F.col("m.class").alias("main")), ["band", "key"])
+    members = stored(members.withColumn("in_main", F.col("class") == F.col("main")).drop("main"), "unsettled")
+    if members.isEmpty():
+        return None
+    # The largest class has blocks of its own, from 0 on; they don't meet each other.
+    blocks = lambda n: F.ceil(n / (s.salt // 2)).cast("long")
+    placed = members.withColumn("first", blocks(F.col("n"))).withColumn("rest", blocks(F.col("c") - F.col("n")))
+    hashed = F.xxhash64("d")
+    placed = placed.withColumn("own", F.when(F.col("in_main"), F.pmod(hashed, "first")).otherwise(F.col("first") + F.pmod(hashed, "rest")))
+    met = placed.withColumn("with", F.explode(F.sequence(F.when(F.col("in_main"), F.col("first")).otherwise(F.lit(0).cast("long")), F.col("first") + F.col("rest") - 1)))
+    tiled = met.select("band", "key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "d", "class", "own")
+    tile = ["band", "key", "lo", "hi"]
+
+    def partners(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row and those rows after it that it's to be compared with."""
+        n = t.num_rows
+        samples = t.column("samples").combine_chunks().flatten().to_numpy().reshape(n, -1)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)
+        kind, own, band = t.column("class").to_numpy(), t.column("own").to_numpy(), t.column("band")[0].as_py() if n else 0
+        across = n and t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        for i in range(n - 1):
+            js = np.arange(i + 1, n)
+            js = js[(kind[js] != kind[i]) & ((own[js] != own[i]) if across else True)]
+            js = js[(samples[js] == samples[i]).sum(axis=1) >= s.least_agreeing]
+            js = js[~(bands[js, :band] == bands[i, :band]).any(axis=1)]
+            if len(js):
+                yield i, js
+
+    def agreeing(t: pa.Table) -> pa.Table:
+        found = np.zeros(t.num_rows, dtype=bool)
+        for i, js in partners(t):
+            found[i] = found[js] = True
+        return t.filter(pa.array(found)).select([*tile, "d", "k1", "k2", "class", "own"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        links: list[tuple] = []
+        sets, d = weighted(Shingler(s.width), t.column("text").combine_chunks(), weights.value), t.column("d").to_pylist()
+        for i, js in partners(t):
+            links += [(min(d[i], d[j]), max(d[i], d[j])) for j in js.tolist() if weighted_jaccard(sets[i], sets[j]) >= s.similarity]
+        return pa.table({"a": pa.array([x[0] for x in links], type=pa.int64()), "b": pa.array([x[1] for x in links], type=pa.int64())})
+
+    columns = "band int, key long, lo long, hi long, d long, k1 long, k2 long, class long, own long"
+    node = ["d", "k1", "k2"]
+    signs = nodes.select(*node, "samples", "bands")
+    wanted = stored(tiled.join(signs, "d").groupBy(*tile).applyInArrow(agreeing, columns), "tiles")
+    texts = texts_of(wanted.select("d").distinct()).dropDuplicates(node)  # repeated rows
+    return wanted.join(signs, node).join(texts, node).groupBy(*tile).applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, k1, k2 (hashes of the text), class_id (least doc_id of its class), n_links (verified links of its text), kept."""
     s, sc = settings, docs.sparkSession.sparkContext
@@ -177,11 +245,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     full = rows.where("bands is not null and doc_id is not null")
     nodes = full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "samples", "bands")).alias("m"), F.count(F.lit(1)).alias("n"))
     nodes = stored(nodes.select("k1", "k2", "n", F.col("m.doc_id").alias("d"), "m.samples", "m.bands"), "nodes")
-    pairs = stored(candidate_pairs(nodes, s), "pairs")
-    meant = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
-    meant = meant.join(nodes.select("d", "k1", "k2"), "d").withColumnRenamed("d", "doc_id")
-    texts = stored(lean.join(meant, ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("d"), "text"), "texts")
+    shared = shared_bands(nodes)
+    pairs = stored(candidate_pairs(nodes, s, shared), "pairs")
+
+    def texts_of(meant: DataFrame) -> DataFrame:
+        meant = meant.join(nodes.select("d", "k1", "k2"), "d").withColumnRenamed("d", "doc_id")
+        return stored(lean.join(meant, ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("d"), "k1", "k2", "text"), "texts")
+
+    texts = texts_of(pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()).select("d", "text")
     links = stored(verified(pairs, texts, weights, s), "links")
+    more = remaining_links(nodes, shared, links, texts_of, weights, s)
+    if more is not None:
+        links = stored(links.union(more), "all-links")
     classes = components(links)
     degree = links.select(F.col("a").alias("d")).union(links.select(F.col("b").alias("d"))).groupBy("d").agg(F.count(F.lit(1)).alias("n_links"))
     linked = nodes.select("k1", "k2", "d", "n").join(classes.withColumnRenamed("node", "d"), "d", "left").join(degree, "d", "left").where("n > 1 or component is not null")

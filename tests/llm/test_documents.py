@@ -394,6 +394,23 @@ def test_op9_keeps_pairs_that_come_in_both_orientations(spark, n):
     assert n > 16 or len(met) == n * (n - 1) // 2
 
 
+def test_op9_large_buckets_are_compared_completely(spark):
+    """Distinct documents of one long template share a bucket; each has a near copy there. Any two of a bucket that are near share a class."""
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    template, texts = [word() for _ in range(200)], []
+    for _ in range(200):
+        own = [word() for _ in range(40)]
+        texts += [" ".join(template + own), " ".join([*template, *own[:-1], "edited"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    s = neardup.Settings(bands=1, rows=1)
+    weights = spark.sparkContext.broadcast((1 + s.smooth * neardup.idf(docs, s)).astype(np.float32))
+    band = {r.doc_id: r.bands[0] for r in neardup.signed(neardup._lean(docs), weights, s).collect()}
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs, s).collect()}
+    assert max(collections.Counter(band.values()).values()) > 128
+    assert found == {d: d - d % 2 if band[d] == band[d - d % 2] else d for d in band}
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)]
