@@ -8,7 +8,8 @@ of classes keep one occurrence: the first by doc_id, then by line.
 
 In a key's bucket all are compared with its most frequent class. Buckets of up to `small` classes are also compared
 completely; in larger ones, each class is compared with its neighbours by text and by reversed text besides, as forms that differ in one
-place share all before it or all after it. So no bucket is compared as all pairs, and none is sorted by one task.
+place share all before it or all after it, and then with all that are not in its group by now. So any two classes of a bucket that differ
+in at most `bits` bits are verified or in one group, and no bucket is sorted by one task.
 
 Defined results: a null text has no lines and stays null; lines without a letter or digit are kept as they are; lines of more
 than MAX_WORDS distinct words (200 KB or more) are matched by normal form only, as their sums of bits would not fit; rows equal in
@@ -114,6 +115,27 @@ def _check(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return inner.where(close).select("a", "b")
 
 
+def unsettled_pairs(large: DataFrame, links: DataFrame, bits: int, salt: int = 256) -> DataFrame | None:
+    """large: key, c, s. Pairs (a, b) of at most `bits` differing bits that share a key and that links leave in different groups; None without any such key.
+
+    In each key's bucket, all meet those outside its largest group, whose members don't meet each other. The others are dealt over salts, for which the members are repeated.
+    """
+    group = components(links).select(F.col("node").alias("c"), F.col("component").alias("g"))
+    members = large.join(group, "c", "left").select("key", "c", "s", F.coalesce("g", "c").alias("g"))
+    sizes = members.groupBy("key", "g").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "g")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    main = main.select("key", F.col("m.g").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / salt).cast("long").alias("salts"))
+    members = stored(members.join(main, "key"), "unsettled-lines")
+    if members.isEmpty():
+        return None
+    others = members.where("g <> main").select("key", F.pmod(F.xxhash64("c"), "salts").alias("salt"), F.col("c").alias("e"), F.col("s").alias("t"), F.col("g").alias("h"))
+    dealt = members.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    once = (F.col("g") == F.col("main")) | (F.col("c") < F.col("e"))
+    near = F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= bits
+    found = dealt.join(others, ["key", "salt"]).where((F.col("g") != F.col("h")) & once & near)
+    return stored(found.select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct(), "line-rest")
+
+
 def groups(docs: DataFrame, classes: DataFrame, *, similarity: float, bits: int, small: int) -> DataFrame:
     """classes: c, n, first (k1, k2, doc_id, pos), s. c and group (least c) of the classes that fuzzy links join to others."""
     hashed = classes.where("s is not null").select("c", "n", "s")
@@ -144,6 +166,9 @@ def groups(docs: DataFrame, classes: DataFrame, *, similarity: float, bits: int,
         found = found.union(ordered.join(ahead, ["side", "key", "at"]).where(near).select("c", "e"))
     pairs = stored(found.select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct(), "line-pairs")
     links = stored(_check(pairs, texts, similarity), "line-links")
+    rest = unsettled_pairs(large, links, bits) if many else None
+    if rest is not None:
+        links = stored(links.union(_check(rest, texts, similarity)), "all-line-links")
     return components(links).select(F.col("node").alias("c"), F.col("component").alias("group"))
 
 

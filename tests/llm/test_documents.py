@@ -344,6 +344,23 @@ def test_op3_large_buckets(spark):
     assert kept == {0, 40, 41}
 
 
+def test_op3_large_buckets_are_compared_completely(spark):
+    """Forms that differ both near their start and near their end, of one bucket: near ones are found wherever the order puts them."""
+    rng = random.Random(3)
+    body = [f"x{k}" for k in range(400)]
+    texts = []
+    for _ in range(22):
+        own = ["".join(rng.choice("abcdefgh") for _ in range(250)) for _ in range(2)]
+        texts += [" ".join([f"{rng.randrange(10**9)}", own[0], *body, own[1], f"{rng.randrange(10**9)}"]) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in lines.deduplicated(docs).where("_n_dropped = 0").collect()}
+    rows = {r.doc_id: r.s for r in lines.occurrences(docs).collect()}
+    mask = (1 << 64) - 1
+    met = lambda a, b: (x := (rows[a] ^ rows[b]) & mask).bit_count() <= 8 and sum((x >> 16 * k & 0xFFFF) == 0 for k in range(4)) >= 2
+    near = [d for d in range(0, 44, 2) if met(d, d + 1)]
+    assert len(near) > 6 and kept == set(range(44)) - {d + 1 for d in near}
+
+
 # Near-duplicates
 def test_sampler_agrees_with_weighted_jaccard():
     rng = np.random.default_rng(1)
