@@ -19,14 +19,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors share (spark.checkpoint.dir). Where none is set, a session in one process gets a
+    temporary one, as in tests; on a cluster that is an error."""
+    sc = spark.sparkContext
+    there = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not there:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="pathloom-")
-        spark.sparkContext.setCheckpointDir(there)
+        sc.setCheckpointDir(there)
     return there.rstrip("/")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with underscores added where df (or a wanted name before) has such a column, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's URI below the shared folder."""
     return f"{shared_dir(spark)}/pathloom/{name}-{uuid.uuid4().hex}"
@@ -85,7 +100,7 @@ def trimming(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return run
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches (of about `size` bytes at most), so that what is made from one stays small."""
     for b in batches:
         n = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))

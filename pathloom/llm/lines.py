@@ -1,95 +1,116 @@
 """Line dedup, exact and fuzzy, by DataFrame operations only.
 
 Lines are normalised to their words in lower case, parted by runs of ASCII characters that are no letters or digits. Lines of
-equal normal form are one class from the start. Each class has a 64-bit SimHash of its distinct words (the frequent words of a
-language would else decide it), in 4 blocks of 16 bits. Hashes that differ in at most 2 bits agree in at least 2 blocks (pigeonhole), so classes meet in a join on each pair of blocks: 6 keys of 32 bits.
-Candidates of at most `bits` differing bits are verified by the edit similarity of their normal forms, and connected groups
-of classes keep one occurrence: the first by doc_id, then by line.
-
-In a key's bucket all are compared with its most frequent class. Buckets of up to `small` classes are also compared
-completely; in larger ones, each class is compared with its neighbours by text and by reversed text besides, as forms that differ in one
-place share all before it or all after it, and then with all that are not in its group by now. So any two classes of a bucket that differ
-in at most `bits` bits are verified or in one group, and no bucket is sorted by one task.
-
-Defined results: a null text has no lines and stays null; lines without a letter or digit are kept as they are; lines of more
-than MAX_WORDS distinct words (200 KB or more) are matched by normal form only, as their sums of bits would not fit; rows equal in
-doc_id and text are one document; ties go to the least (doc_id, line), null doc_ids first; an empty table gives no rows; extra
-columns are kept by `deduplicated` and `without_repeated_lines`, whose own new columns are _n_lines and _n_dropped.
+equal normal form are one class from the start.
+
+A class has a SimHash in blocks. Its features are the distinct words of five characters and more; forms with few of these
+take their sequences of four characters (the few in between take both). A feature is dealt by its hash to one of 4 * 2**level
+blocks and votes on the 40 bits of that block only, so an edit disturbs the blocks that its features are dealt to and no
+others. By the pigeonhole principle, two forms that differ in fewer features than they have blocks agree in a block. The level
+follows from the length, in steps of two; forms close to a step take part in both levels, so two forms whose lengths differ by
+a tenth at most have a level in common. Classes meet in a join on each block on which at least two features voted.
+
+In a block's bucket all are compared with its least class, then any two that are not in one group by now: each two of a bucket
+are verified or in one group, however large it is. Candidates are verified by the edit similarity of their normal forms, and
+connected groups of classes keep one occurrence: the first by doc_id, then by line.
+
+Defined results: a null text has no lines and stays null; lines without a letter or digit are kept as they are; lines of any
+length take part; of rows equal in doc_id and text one keeps its lines and the others lose them; ties go to the least
+(doc_id, line), null doc_ids first; an empty table gives no rows; extra columns are kept by `deduplicated` and
+`without_repeated_lines`, and helper columns take names that the caller's columns leave free.
 """
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, stored, table
+from .common import free_names, stored, table
 from .components import components
 
-MAX_WORDS = 32_767
-
-
 #: ASCII characters that are neither letters nor digits.
 _OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_ENDS = "".join(chr(k) for k in range(128) if not chr(k).isalnum())
 
+#: Features: words of so many characters or more, or sequences of so many characters; the counts of words that are enough, or too many, for either.
+LONG, GRAM, ENOUGH, MANY = 5, 4, 5, 7
+#: Characters of a form for its first four blocks, with features of either kind.
+WORD_UNIT, GRAM_UNIT = 180, 18
+#: Forms are similar whose lengths differ by a tenth at most.
+SIMILARITY = 0.9
 
-def normal_words(line: Column) -> Column:
-    return F.split(F.btrim(F.lower(line), F.lit(_ENDS)), _OTHER + "+")
+#: Ten lanes of six bits: each counts votes on one bit.
+_LANES = sum(1 << 6 * k for k in range(10))
 
 
-_LANES = sum(1 << k for k in range(0, 64, 16))
+def normal_form(line: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.lower(line), _OTHER + "+", " "))
 
 
-def lane_sums(h: str) -> list[Column]:
-    """Of 64-bit hashes, how often each bit is set: s0 to s15, each with four counts of 16 bits for the bits k, k + 16, ..."""
-    return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(16)]
+def lane_votes(h: Column | str) -> list[Column]:
+    """Of a 64-bit hash: four numbers of ten lanes, which hold the bits k, k + 6, ... of the hash."""
+    return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES)) for k in range(4)]
 
 
-def simhash(n: Column) -> Column:
-    """From s0 to s15, sums over n hashes: bit b is set where more than half of the hashes set it.
+def simhash(votes: list[Column], n: Column) -> Column:
+    """From the sums of lane_votes over n hashes: a bit is set where more than half of the hashes set it.
 
-    Adding 32767 - half to a lane carries a count above half into its top bit; the uppermost lane, whose top bit is the sign, is
-    compared by itself. The sums are folded as an array: written out for each, they make a method too large for the compiler.
+    Adding 31 - half to a lane carries a count above half into its top bit. Blocks hold ten features on average; lanes of one
+    with over 31 run into each other, which is the same for equal features still.
     """
-    half = F.floor(n / 2).cast("long")
-    low, most = _LANES & (1 << 48) - 1, F.lit((1 << 48) - 1)
+    spare = F.greatest(F.lit(31) - F.floor(n / 2), F.lit(0)).cast("long") * F.lit(_LANES)
+    out = F.lit(0).cast("long")
+    for k, v in enumerate(votes):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(v + spare, 5).bitwiseAND(F.lit(_LANES)), k))
+    return out
 
-    def add(bits: Column, x: Column) -> Column:
-        above = F.shiftrightunsigned(x["c"].bitwiseAND(most) + x["spare"], 15).bitwiseAND(F.lit(low))
-        last = F.shiftleft((F.shiftrightunsigned(x["c"], 48) > x["half"]).cast("long"), 48)
-        return bits.bitwiseOR(F.call_function("shiftleft", above.bitwiseOR(last), x["k"]))
 
-    spare = (F.lit(32_767) - half) * F.lit(low)
-    sums = F.array(*[F.struct(F.col(f"s{k}").alias("c"), F.lit(k).alias("k"), half.alias("half"), spare.alias("spare")) for k in range(16)])
-    return F.aggregate(sums, F.lit(0).cast("long"), add)
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2 (two hashes of doc_id and text), text: each distinct row with a text once, dealt by its hashes."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text")
+    lean = docs.where("text is not null").select(doc.alias("doc_id"), *[k.alias(n) for n, k in zip(("k1", "k2"), doc_keys())], text.alias("text"))
+    return lean.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("doc_id"))).where("nth = 1").drop("nth")
 
 
-def _doc_key(docs: DataFrame) -> list[Column]:
+def doc_keys() -> list[Column]:
     text = F.coalesce("text", F.lit(""))
-    return [F.xxhash64(F.col("doc_id"), text).alias("k1"), F.xxhash64(text, F.col("doc_id"), F.lit(1)).alias("k2")]
+    return [F.xxhash64(F.col("doc_id").cast("long"), text), F.xxhash64(F.lit(1), text, F.col("doc_id").cast("long"))]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row for each line: k1, k2 (its document), doc_id, pos, h1, h2 (its normal form) and s (its SimHash), null where empty."""
-    lean = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *_doc_key(docs), F.split("text", "\n").alias("lines"))
-    lines = lean.select("doc_id", "k1", "k2", F.posexplode("lines").alias("pos", "line"))
-    words = lines.select("doc_id", "k1", "k2", "pos", F.transform(normal_words(F.col("line")), lambda w: F.xxhash64(w)).alias("_hashes"))
-    real = (F.size("_hashes") > 1) | (F.col("_hashes")[0] != F.xxhash64(F.lit("")))
-    form = words.select("doc_id", "k1", "k2", "pos", F.when(real, F.xxhash64("_hashes")).alias("h1"), F.when(real, F.xxhash64("_hashes", F.lit(1))).alias("h2"), F.when(real, F.array_distinct("_hashes")).alias("_hashes"))
-    fit = form.withColumn("_hashes", F.when(F.size("_hashes") <= MAX_WORDS, F.col("_hashes")))
-    each = fit.select("doc_id", "k1", "k2", "pos", "h1", "h2", F.explode_outer("_hashes").alias("_h"))
-    sums = each.groupBy("doc_id", "k1", "k2", "pos", "h1", "h2").agg(F.count("_h").alias("_n"), *lane_sums("_h"))
-    return sums.select("k1", "k2", "doc_id", "pos", "h1", "h2", F.when(F.col("_n") > 0, simhash(F.col("_n"))).alias("s"))
+    """One row for each line with a letter or digit: k1, k2 (its document), doc_id, pos, h1, h2 and n (its normal form and the length of that) and keys (its blocks).
+
+    Documents are dealt once; words are counted where their document lies.
+    """
+    lines = keyed(docs).select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    forms = lines.select("doc_id", "k1", "k2", "pos", normal_form(F.col("line")).alias("norm"))
+    hashes = lambda pattern, group: F.array_distinct(F.transform(F.regexp_extract_all("norm", F.lit(pattern), F.lit(group)), lambda w: F.xxhash64(w)))
+    ids = ["doc_id", "k1", "k2", "pos", "h1", "h2", "n"]
+    words = forms.select("doc_id", "k1", "k2", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.length("norm").alias("n"), "norm", hashes(f"[^ ]{{{LONG},}}", 0).alias("words"))
+    grams = F.when((F.size("words") <= MANY) & (F.col("n") > 0), F.when(F.col("n") < GRAM, F.array(F.xxhash64("norm"))).otherwise(hashes(f"(?s)(?=(.{{{GRAM}}}))", 1)))
+    both = words.select(*ids, "words", grams.alias("grams"))
+    level = lambda n, unit: F.greatest(F.floor(F.log2(n / F.lit(float(unit)))), F.lit(0)).cast("int")
+    parts = []
+    for kind, unit, features, there in ((0, WORD_UNIT, "words", F.size("words") >= ENOUGH), (64, GRAM_UNIT, "grams", F.col("grams").isNotNull())):
+        high, low = level(F.col("n"), unit), level(F.col("n") * F.lit(SIMILARITY) - F.lit(1e-6), unit)
+        part = lambda lv, k=kind, f=features: F.struct((lv + F.lit(k)).alias("tag"), F.call_function("shiftleft", F.lit(4).cast("long"), lv).alias("blocks"), F.col(f).alias("features"))
+        parts += [F.when(there, part(high)), F.when(there & (low < high), part(low))]
+    dealt = both.select(*ids, F.explode(F.array_compact(F.array(*parts))).alias("p")).select(*ids, "p.tag", "p.blocks", F.explode("p.features").alias("x"))
+    block = F.shiftrightunsigned(F.shiftrightunsigned("x", 32) * F.col("blocks"), 32)
+    votes = dealt.select(*ids, "tag", block.alias("block"), *[v.alias(f"v{k}") for k, v in enumerate(lane_votes("x"))])
+    votes = votes.select(*ids, "tag", F.shiftrightunsigned("block", 2).alias("four"), F.col("block").bitwiseAND(F.lit(3).cast("long")).alias("j"), "v0", "v1", "v2", "v3")
+    sums = [F.count(F.when(F.col("j") == j, 1)).alias(f"n{j}") for j in range(4)] + [F.sum(F.when(F.col("j") == j, F.col(f"v{k}")).otherwise(F.lit(0).cast("long"))).alias(f"s{j}{k}") for j in range(4) for k in range(4)]
+    counted = votes.groupBy(*ids, "tag", "four").agg(*sums)
+    keys = [F.when(F.col(f"n{j}") >= 2, F.xxhash64("tag", "four", F.lit(j), simhash([F.col(f"s{j}{k}") for k in range(4)], F.col(f"n{j}")))) for j in range(4)]
+    return counted.select(*ids, F.array_compact(F.array(*keys)).alias("keys")).groupBy(*ids).agg(F.flatten(F.collect_list("keys")).alias("keys"))  # a line's own blocks
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: c, k1, k2, pos. c and the normal form of that line."""
     by_doc = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "c")).alias("places"))  # a document's own lines
-    lines = docs.where("text is not null").select(*_doc_key(docs), F.col("text")).join(by_doc, ["k1", "k2"]).select(F.split("text", "\n").alias("lines"), "places")
-    forms = lines.select("lines", F.explode("places").alias("p")).select(F.col("p.c").alias("c"), F.array_join(normal_words(F.element_at("lines", F.col("p.pos") + 1)), " ").alias("norm"))
-    return forms.groupBy("c").agg(F.min("norm").alias("norm"))
+    k1, k2 = doc_keys()
+    lines = docs.where("text is not null").select(k1.alias("k1"), k2.alias("k2"), F.col("text")).join(by_doc, ["k1", "k2"]).select(F.split("text", "\n").alias("lines"), "places")
+    forms = lines.select("lines", F.explode("places").alias("p")).select(F.col("p.c").alias("c"), normal_form(F.element_at("lines", F.col("p.pos") + 1)).alias("norm"))
+    return forms.dropDuplicates(["c"])  # repeated rows
 
 
 def _check(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -115,106 +136,101 @@ def _check(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return inner.where(close).select("a", "b")
 
 
-def unsettled_pairs(large: DataFrame, links: DataFrame, bits: int, salt: int = 256) -> DataFrame | None:
-    """large: key, c, s. Pairs (a, b) of at most `bits` differing bits that share a key and that links leave in different groups; None without any such key.
+def unsettled_pairs(met: DataFrame, group: DataFrame, similarity: float, salt: int = 256) -> DataFrame:
+    """met: key, c, n and the key's centre; group: c, g. The pairs (a, b) that share a key, are in different groups and of like length, but for those with the centre.
 
-    In each key's bucket, all meet those outside its largest group, whose members don't meet each other. The others are dealt over salts, for which the members are repeated.
+    In each key's bucket, all meet those outside its largest group, whose members don't meet each other. The others are dealt
+    over salts, for which the members are repeated.
     """
-    group = components(links).select(F.col("node").alias("c"), F.col("component").alias("g"))
-    members = large.join(group, "c", "left").select("key", "c", "s", F.coalesce("g", "c").alias("g"))
-    sizes = members.groupBy("key", "g").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "g")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    main = main.select("key", F.col("m.g").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / salt).cast("long").alias("salts"))
-    members = stored(members.join(main, "key"), "unsettled-lines")
-    if members.isEmpty():
-        return None
-    others = members.where("g <> main").select("key", F.pmod(F.xxhash64("c"), "salts").alias("salt"), F.col("c").alias("e"), F.col("s").alias("t"), F.col("g").alias("h"))
+    members = met.join(group, "c", "left").select("key", "centre", "c", "n", F.coalesce("g", "c").alias("g"))
+    sizes = members.groupBy("key", "g").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "g")).alias("m"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    main = main.select("key", F.col("m.g").alias("main"), F.ceil((F.col("all") - F.col("m.size")) / salt).cast("long").alias("salts"))
+    members = stored(members.join(main, "key").where("c <> centre"), "unsettled-lines")
+    others = members.where("g <> main").select("key", F.pmod(F.xxhash64("c"), "salts").alias("salt"), F.col("c").alias("e"), F.col("n").alias("o"), F.col("g").alias("h"))
     dealt = members.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     once = (F.col("g") == F.col("main")) | (F.col("c") < F.col("e"))
-    near = F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= bits
-    found = dealt.join(others, ["key", "salt"]).where((F.col("g") != F.col("h")) & once & near)
-    return stored(found.select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct(), "line-rest")
-
-
-def groups(docs: DataFrame, classes: DataFrame, *, similarity: float, bits: int, small: int) -> DataFrame:
-    """classes: c, n, first (k1, k2, doc_id, pos), s. c and group (least c) of the classes that fuzzy links join to others."""
-    hashed = classes.where("s is not null").select("c", "n", "s")
-    block = lambda k: F.shiftrightunsigned(F.col("s"), 16 * k).bitwiseAND(F.lit(0xFFFF))
-    two = [F.shiftleft(block(i), 16).bitwiseOR(block(j)).bitwiseOR(F.lit(k << 32)) for k, (i, j) in enumerate(itertools.combinations(range(4), 2))]
-    keys = hashed.select("c", F.explode(F.array(*two)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = stored(keys.join(shared, "key").join(hashed, "c").select("key", "size", "c", "n", "s"), "keys")
-    tops = met.groupBy("key").agg(F.max(F.struct("n", "s", "c")).alias("top")).select("key", F.col("top.c").alias("e"), F.col("top.s").alias("t"))
-    near = F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= bits
-    found = met.join(tops, "key").where(near & (F.col("c") != F.col("e"))).select("c", "e")
-    few = met.where(F.col("size").between(3, small)).select("key", "c", "s")
-    others = few.select("key", F.col("c").alias("e"), F.col("s").alias("t"))
-    found = found.union(few.join(others, "key").where(near & (F.col("c") < F.col("e"))).select("c", "e"))
-    large = met.where(F.col("size") > small).select("key", "c", "s")
-    many = not large.isEmpty()
-    wanted = found.select("c").union(found.select("e"))
-    wanted = (wanted.union(large.select("c")) if many else wanted).distinct().join(classes, "c")
-    texts = stored(_texts(docs, wanted.select("c", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"))), "line-texts")
-    if many:
-        # Sixty-four characters from either end put near forms side by side; a tie is broken by the whole form's hash.
-        both = large.join(texts, "c")
-        form = lambda side, text: F.struct(F.lit(side).alias("side"), F.concat(text, F.hex(F.xxhash64("norm"))).alias("by"))
-        orders = F.array(form(0, F.substring("norm", 1, 64)), form(1, F.reverse(F.substring("norm", -64, 64))))
-        rows = both.select("key", "c", "s", F.explode(orders).alias("o")).select("key", "c", "s", "o.side", "o.by")
-        ordered = stored(numbered(rows, ["side", "key", "by"], rank="at", name="line-order").select("side", "key", "at", "c", "s"), "line-places")
-        ahead = ordered.select("side", "key", F.col("c").alias("e"), F.col("s").alias("t"), (F.col("at") - 1).alias("at"))
-        found = found.union(ordered.join(ahead, ["side", "key", "at"]).where(near).select("c", "e"))
-    pairs = stored(found.select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct(), "line-pairs")
-    links = stored(_check(pairs, texts, similarity), "line-links")
-    rest = unsettled_pairs(large, links, bits) if many else None
-    if rest is not None:
-        links = stored(links.union(_check(rest, texts, similarity)), "all-line-links")
-    return components(links).select(F.col("node").alias("c"), F.col("component").alias("group"))
-
-
-def marked(docs: DataFrame, *, similarity: float = 0.9, bits: int = 8, small: int = 16) -> DataFrame:
-    """For each document (k1, k2): flags, an array that says of each line whether it is kept."""
+    alike = F.abs(F.col("n") - F.col("o")) <= F.greatest("n", "o") * F.lit(1 - similarity) + F.lit(1e-9)
+    found = dealt.join(others, ["key", "salt"]).where((F.col("g") != F.col("h")) & once & alike)
+    return found.select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct()
+
+
+def groups(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """classes: c, size (length), first (k1, k2, doc_id, pos), keys. c and group (least c) of the classes that fuzzy links join to others."""
+    blocks = classes.select("c", "size", F.explode("keys").alias("key"))
+    buckets = stored(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("centre"), F.max("c").alias("last")).where("centre < last"), "line-buckets")
+    met = stored(blocks.withColumnRenamed("size", "n").join(buckets.where("n > 2").select("key", "centre"), "key"), "line-members")
+    stars = met.where("c <> centre").select(F.col("centre").alias("a"), F.col("c").alias("b"))
+    pairs = stored(buckets.where("n = 2").select(F.col("centre").alias("a"), F.col("last").alias("b")).union(stars).distinct(), "line-pairs")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes, "c")
+        texts = stored(_texts(docs, wanted.select("c", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"))), f"{name}-texts")
+        return stored(_check(pairs, texts, similarity), name)
+
+    group = stored(components(checked(pairs, "line-links")), "line-groups")
+    rest = stored(unsettled_pairs(met, group.select(F.col("node").alias("c"), F.col("component").alias("g")), similarity), "line-rest")
+    if not rest.isEmpty():
+        more = checked(rest, "more-line-links")
+        if not more.isEmpty():
+            group = components(group.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    return group.select(F.col("node").alias("c"), F.col("component").alias("group"))
+
+
+def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """k1, k2 and gone (positions) of the documents that hold lines of which another occurrence is kept."""
     rows = stored(occurrences(docs), "lines")
-    real = rows.where("h1 is not null")
     place = F.struct("doc_id", "k1", "k2", "pos")
-    classes = real.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min("s").alias("s"))
-    # Numbers for classes are those of the stored table; nothing but ties between centres of equal SimHash hangs on them.
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("c"), "h1", "h2", "n", "first", "s"), "line-classes")
-    fuzzy = groups(docs, classes, similarity=similarity, bits=bits, small=small)
-    joined = classes.join(fuzzy, "c", "left").where("n > 1 or group is not null").select("h1", "h2", "first", F.coalesce("group", "c").alias("group"))
+    classes = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.any_value("n").alias("size"), F.any_value("keys").alias("keys"))
+    # Classes are numbered in the stored table; nothing but the order of comparisons hangs on the numbers.
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("c"), "h1", "h2", "n", "size", "first", "keys"), "line-classes")
+    joined = classes.drop("keys").join(groups(docs, classes, similarity), "c", "left").where("n > 1 or group is not null").select("h1", "h2", "first", F.coalesce("group", "c").alias("group"))
+    joined = stored(joined, "line-repeats")
     best = joined.groupBy("group").agg(F.min("first").alias("best"))
-    repeated = stored(joined.join(best, "group").select("h1", "h2", F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"), F.col("best.pos").alias("bp")), "repeated")
-    kept = rows.join(repeated, ["h1", "h2"], "left")
-    is_best = (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2")) & (F.col("pos") == F.col("bp"))
-    flags = kept.select("k1", "k2", F.struct("pos", F.coalesce(is_best, F.lit(True)).alias("keep")).alias("f"))
-    return flags.groupBy("k1", "k2").agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["keep"]).alias("flags"))  # a document's own lines
-
-
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with their columns, text without the repeated lines, and n_lines and n_dropped."""
-    names = docs.columns
-    flags = stored(marked(docs, **options), "line-flags").where(F.exists("flags", lambda x: ~x)).select(F.col("k1").alias("__line_k1"), F.col("k2").alias("__line_k2"), F.col("flags").alias("__line_flags"))
-    k1, k2 = _doc_key(docs)
-    joined = docs.withColumns({"__line_k1": k1, "__line_k2": k2}).join(flags, ["__line_k1", "__line_k2"], "left")
+    repeated = joined.join(best, "group").select("h1", "h2", F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"), F.col("best.pos").alias("bp"))
+    gone = rows.drop("keys").join(repeated, ["h1", "h2"]).where("k1 <> b1 or k2 <> b2 or pos <> bp")
+    return gone.groupBy("k1", "k2").agg(F.collect_list("pos").alias("gone"))  # a document's own lines
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, n_lines: str = "_n_lines", n_dropped: str = "_n_dropped") -> DataFrame:
+    """docs with their columns, text without the repeated lines, and two columns more: the lines there were, and those dropped.
+
+    Where docs has a column of either name already, the new one's name gets underscores added.
+    """
+    if not docs.columns:
+        raise ValueError("documents have columns")
+    n_lines, n_dropped, c1, c2, gone, nth, again = free_names(docs, n_lines, n_dropped, "_k1", "_k2", "_gone", "_nth", "_again")
+    k1, k2 = doc_keys()
+    marked = docs.withColumns({c1: k1, c2: k2})
+    flags = repeats(docs, similarity).select(F.col("k1").alias(c1), F.col("k2").alias(c2), F.col("gone").alias(gone))
+    twice = marked.where("text is not null").groupBy(c1, c2).agg(F.count(F.lit(1)).alias(again)).where(F.col(again) > 1).select(c1, c2)
+    twice = stored(twice, "repeated-rows")
+    if twice.isEmpty():
+        marked = marked.withColumn(nth, F.lit(1))
+    else:
+        among = Window.partitionBy(c1, c2).orderBy(c1)
+        marked = marked.join(twice, [c1, c2], "left_anti").withColumn(nth, F.lit(1)).unionByName(marked.join(twice, [c1, c2], "left_semi").withColumn(nth, F.row_number().over(among)))
+    joined = marked.join(flags, [c1, c2], "left")
     lines = F.split("text", "\n")
-    chosen = F.filter(F.zip_with(lines, "__line_flags", lambda x, keep: F.when(keep, x)), lambda x: x.isNotNull())
-    text = F.when(F.col("__line_flags").isNull(), F.col("text")).otherwise(F.array_join(chosen, "\n"))
-    dropped = F.coalesce(F.size(F.filter("__line_flags", lambda x: ~x)), F.lit(0))
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    return joined.select(*[text.alias(n) if n == "text" else F.col(n) for n in names], n_lines.cast("long").alias("_n_lines"), F.when(F.col("__line_flags").isNull(), 0).otherwise(dropped).cast("long").alias("_n_dropped"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.element_at(lines, i + 1))
+    real = lambda xs: F.filter(xs, lambda x: normal_form(x) == "")
+    text = F.when(F.col(nth) > 1, F.array_join(real(lines), "\n")).when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(F.col(nth) > 1, F.size(lines) - F.size(real(lines))).otherwise(F.coalesce(F.size(gone), F.lit(0)))
+    whole = F.coalesce(F.size(lines), F.lit(0))
+    return joined.select(*[text.alias(n) if n == "text" else F.col(f"`{n}`") for n in docs.columns], whole.cast("long").alias(n_lines), dropped.cast("long").alias(n_dropped))
 
 
-def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with their columns; documents of which nothing but empty lines is left, and that had more, go. n_chars follows the text."""
-    out = deduplicated(docs, **options)
-    out = out.where("_n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    n_lines, n_dropped = free_names(docs, "_n_lines", "_n_dropped")
+    out = deduplicated(docs, similarity, n_lines, n_dropped)
+    out = out.where((F.col(n_dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def op3_fuzzy_lines(spark, sf_dir: str) -> DataFrame:
     """All documents without their repeated lines."""
-    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), n_lines="n_lines", n_dropped="n_dropped")
