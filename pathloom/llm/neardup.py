@@ -1,9 +1,11 @@
 """Near-duplicate documents: weighted MinHash of five-word shingles, banded, verified by weighted Jaccard similarity.
 
-A shingle weighs its count in the text times a smoothed inverse document frequency between 1 and 1 + SMOOTH. Document
-frequencies are counted over all documents in a table of a fixed number of hashed cells, whose rarest cells hold the same
-share of documents at any size of the corpus. Smoothing is strong so that a group of copies, which makes its own shingles
-frequent, can't push its members below the threshold: a pair of plain similarity s keeps at least s / (s + (1 - s) (1 + SMOOTH)).
+A shingle weighs its count in the text times its inverse document frequency, scaled to 1 for shingles in one of `share`
+documents or less and to `floor` for one in all of them. Frequencies of the shingles that weigh less than 1 are exact: a first
+pass counts documents in hashed cells, a second one counts the shingles of those cells that hold enough documents to have
+such a shingle. At most (shingles of a mean document) * share of them exist, whatever the size of the corpus, so they can be
+broadcast. The floor keeps a group of copies, which makes its own shingles frequent, above the threshold: a pair of plain
+similarity s keeps at least s / (s + (1 - s) / floor), and all of s while its shingles are in one of `share` documents or less.
 
 Texts that are equal are one node from the start. Nodes that share a band are compared. Buckets of up to SMALL nodes are
 compared completely. In larger ones, all are first compared with the most central member (that of the largest buckets) and with
@@ -12,8 +14,9 @@ So any two nodes of a bucket are compared or in one class. Pairs whose samples a
 read again; all others are verified on their whole texts. Linked nodes form classes (connected components).
 
 Defined results: null texts and texts without words belong to no class but their own; rows with a null doc_id too; rows that
-share a doc_id are one document; ties go to the least doc_id; an empty table gives no rows; extra columns are ignored by
-`near_duplicates` and kept by `distinct_documents`.
+share a doc_id but not the text are nodes of their own; a class keeps one row, of the least doc_id, then of the least hash of the
+text, and of rows that are equal in both the first; texts of any length are read whole; an empty table gives no rows; extra columns are
+ignored by `near_duplicates` and kept by `distinct_documents`, whose helper columns take names that the caller's leave free.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, trimming
+from .common import free_names, slices, stored, table, trimming
 from .components import components
 from .shingles import Shingler, WeightedSampler, mixed, weighted_jaccard
 
@@ -37,7 +40,8 @@ class Settings:
     similarity: float = 0.8
     bands: int = 12
     rows: int = 4
-    smooth: float = 0.1
+    share: int = 256
+    floor: float = 0.5
     cells: int = 1 << 20
     small: int = 16
     salt: int = 256
@@ -52,13 +56,41 @@ class Settings:
         return max(self.rows, int(n * p - 4.3 * (n * p * (1 - p)) ** 0.5))
 
 
-def _lean(docs: DataFrame) -> DataFrame:
+def text_keys() -> list[Column]:
+    """Two hashes of the text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.alias("text"))
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def _lean(docs: DataFrame) -> DataFrame:
+    k1, k2 = text_keys()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def cell_of(h: np.ndarray, cells: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(cells)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Of shingles: 1, but for those in `keys` (ascending). cells: which hashed cells hold any of these."""
+
+    cells: np.ndarray
+    keys: np.ndarray
+    values: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), dtype=np.float32)
+        if len(self.keys):
+            maybe = np.flatnonzero(self.cells[cell_of(h, len(self.cells))])
+            at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+            found = self.keys[at] == h[maybe]
+            out[maybe[found]] = self.values[at[found]]
+        return out
 
 
-def idf(docs: DataFrame, s: Settings) -> np.ndarray:
-    """Of each cell: between 0 (in all documents) and 1 (in one of `cells` documents, or less)."""
+def document_counts(docs: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
+    """Documents that have a shingle in each cell, and the number of documents."""
     chunk = min(1024, s.cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +98,8 @@ def idf(docs: DataFrame, s: Settings) -> np.ndarray:
         for b in slices(batches, 4000):
             held, size = [], 0
             for h in shingler(b.column(0)):
-                cells = np.unique((h >> np.uint64(20)) % np.uint64(s.cells))
-                held.append(cells.astype(np.int64))
+                cells = np.unique(cell_of(h, s.cells))
+                held.append(cells)
                 size += len(cells)
                 n += 1
                 if size > 1 << 20:
@@ -91,16 +123,69 @@ def idf(docs: DataFrame, s: Settings) -> np.ndarray:
 
     schema = "chunk long, counts binary, n long"
     partial = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(trimming(count), schema)
-    df, n = np.zeros(s.cells), 0
+    df, n = np.zeros(s.cells, dtype=np.int64), 0
     for r in partial.repartition("chunk").mapInArrow(add, schema).collect():  # `cells` numbers in all, whatever the corpus
         df[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], dtype=np.int64)
         n = max(n, r["n"])
-    return np.clip(np.log((n + 1) / np.maximum(df, 1)) / np.log(s.cells), 0, 1).astype(np.float32)
+    return df, n
 
 
-def weighted(shingler: Shingler, texts: pa.Array, weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The shingles of each text and their weights; weights: of each cell."""
-    return [(h, n * weights[((h >> np.uint64(20)) % np.uint64(len(weights))).astype(np.int64)]) for h, n in shingler.counted(texts)]
+def weights_of(docs: DataFrame, s: Settings) -> Weights:
+    """The weights of the shingles that are in more than one of `share` documents."""
+    counts, n = document_counts(docs, s)
+    least = n // s.share + 1
+    hot = counts >= least
+    none = Weights(np.zeros(s.cells, dtype=bool), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32))
+    if not hot.any():
+        return none
+    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(hot))  # cells / 8 bytes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, wanted = Shingler(s.width), np.unpackbits(flags.value, count=s.cells).astype(bool)
+        keys, times, held, size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [], 0
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            new, index = np.unique(np.concatenate([keys, *held]), return_inverse=True)
+            weight = np.concatenate([times, np.ones(size, dtype=np.int64)])
+            return new, np.bincount(index, weights=weight, minlength=len(new)).astype(np.int64)
+
+        for b in slices(batches, 4000):
+            for h in shingler(b.column(0)):
+                own = np.unique(h[wanted[cell_of(h, s.cells)]])
+                held.append(own)
+                size += len(own)
+            if size > 1 << 19:
+                keys, times = folded()
+                held, size = [], 0
+                if len(keys) > 1 << 20:
+                    yield pa.RecordBatch.from_pydict({"shingle": keys.view(np.int64), "n": times})
+                    keys, times = keys[:0], times[:0]
+        keys, times = folded()
+        if len(keys):
+            yield pa.RecordBatch.from_pydict({"shingle": keys.view(np.int64), "n": times})
+
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(trimming(count), "shingle long, n long")
+    # At most (shingles of a mean document) * share rows: their frequencies add up to the shingles of all documents.
+    rows = found.groupBy("shingle").agg(F.sum("n").alias("df")).where(F.col("df") >= least).toArrow()
+    keys, df = rows.column("shingle").to_numpy().astype(np.int64).view(np.uint64), rows.column("df").to_numpy()
+    order = np.argsort(keys)
+    keys, df = np.ascontiguousarray(keys[order]), df[order]
+    scaled = np.clip(np.log(n / np.maximum(df, 1)) / np.log(s.share), 0, 1)
+    cells = np.zeros(s.cells, dtype=bool)
+    cells[cell_of(keys, s.cells)] = True
+    return Weights(cells, keys, (s.floor + (1 - s.floor) * scaled).astype(np.float32))
+
+
+def weighted(shingler: Shingler, texts: pa.Array, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The shingles of each text, ascending, and their weights."""
+    sets = shingler.counted(texts)
+    if not sets:
+        return []
+    idf, at, out = weights.of(np.concatenate([h for h, _ in sets])), 0, []
+    for h, n in sets:
+        out.append((h, n * idf[at : at + len(h)]))
+        at += len(h)
+    return out
 
 
 def signed(lean: DataFrame, weights, s: Settings) -> DataFrame:
@@ -175,12 +260,12 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, s: Settings) -> DataFr
 
 def remaining_links(nodes: DataFrame, shared: DataFrame, links: DataFrame, texts_of: Callable[[DataFrame], DataFrame], weights, s: Settings) -> DataFrame | None:
     """The similar pairs (a, b) among those that share a large bucket and that `links` leaves in different classes; None where there are
-    no such buckets. nodes: d, k1, k2, samples, bands; texts_of: gives d, k1, k2 and text of nodes (d). Nodes of one d are one document.
+    no such buckets. nodes: d, samples, bands; texts_of: gives d and text of nodes (d).
 
     A bucket's members are dealt over blocks, and each two blocks (but those of its largest class) meet in a tile of its own: first their samples, then the texts of
     those that agree enough with another. A pair belongs to the first band that it shares: where that is a small bucket, it was compared there.
     """
-    large = shared.where(F.col("c") > s.small).select("band", "key", "d", "c").distinct()
+    large = shared.where(F.col("c") > s.small).select("band", "key", "d", "c")
     if large.isEmpty():
         return None
     classes = components(links).select(F.col("node").alias("d"), "component")
@@ -219,7 +304,7 @@ def remaining_links(nodes: DataFrame, shared: DataFrame, links: DataFrame, texts
         found = np.zeros(t.num_rows, dtype=bool)
         for i, js in partners(t):
             found[i] = found[js] = True
-        return t.filter(pa.array(found)).select([*tile, "d", "k1", "k2", "class", "own"])
+        return t.filter(pa.array(found)).select([*tile, "d", "class", "own"])
 
     def compare(t: pa.Table) -> pa.Table:
         links: list[tuple] = []
@@ -228,51 +313,66 @@ def remaining_links(nodes: DataFrame, shared: DataFrame, links: DataFrame, texts
             links += [(min(d[i], d[j]), max(d[i], d[j])) for j in js.tolist() if weighted_jaccard(sets[i], sets[j]) >= s.similarity]
         return pa.table({"a": pa.array([x[0] for x in links], type=pa.int64()), "b": pa.array([x[1] for x in links], type=pa.int64())})
 
-    columns = "band int, key long, lo long, hi long, d long, k1 long, k2 long, class long, own long"
-    node = ["d", "k1", "k2"]
-    signs = nodes.select(*node, "samples", "bands")
+    columns = "band int, key long, lo long, hi long, d long, class long, own long"
+    signs = nodes.select("d", "samples", "bands")
     wanted = stored(tiled.join(signs, "d").groupBy(*tile).applyInArrow(agreeing, columns), "tiles")
-    texts = texts_of(wanted.select("d").distinct()).dropDuplicates(node)  # repeated rows
-    return wanted.join(signs, node).join(texts, node).groupBy(*tile).applyInArrow(compare, "a long, b long")
+    texts = texts_of(wanted.select("d").distinct())
+    return wanted.join(signs, "d").join(texts, "d").groupBy(*tile).applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, k1, k2 (hashes of the text), class_id (least doc_id of its class), n_links (verified links of its text), kept."""
+def verdicts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """For each doc_id, k1 and k2 (hashes of the text): times (equal rows), class_id (least doc_id of its class), n_links (verified
+    links of its text), one (is it a class of which one row is kept) and best (is that among these rows)."""
     s, sc = settings, docs.sparkSession.sparkContext
     lean = _lean(docs)
-    weights = sc.broadcast((1 + s.smooth * idf(docs, s)).astype(np.float32))  # `cells` numbers: 4 MB
+    weights = sc.broadcast(weights_of(docs, s))
     rows = stored(signed(lean, weights, s), "signatures")
     full = rows.where("bands is not null and doc_id is not null")
     nodes = full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "samples", "bands")).alias("m"), F.count(F.lit(1)).alias("n"))
-    nodes = stored(nodes.select("k1", "k2", "n", F.col("m.doc_id").alias("d"), "m.samples", "m.bands"), "nodes")
+    # Numbers of nodes are those of the stored table.
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("d"), "k1", "k2", "n", F.col("m.doc_id").alias("first"), "m.samples", "m.bands"), "nodes")
     shared = shared_bands(nodes)
     pairs = stored(candidate_pairs(nodes, s, shared), "pairs")
 
     def texts_of(meant: DataFrame) -> DataFrame:
-        meant = meant.join(nodes.select("d", "k1", "k2"), "d").withColumnRenamed("d", "doc_id")
-        return stored(lean.join(meant, ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("d"), "k1", "k2", "text"), "texts")
+        wanted = nodes.join(meant, "d").select("d", "k1", "k2", F.col("first").alias("doc_id"))
+        return stored(lean.join(wanted, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).select("d", "text"), "texts")  # repeated rows
 
-    texts = texts_of(pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()).select("d", "text")
+    texts = texts_of(pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct())
     links = stored(verified(pairs, texts, weights, s), "links")
     more = remaining_links(nodes, shared, links, texts_of, weights, s)
     if more is not None:
-        links = stored(links.union(more), "all-links")
+        links = stored(links.union(more).distinct(), "all-links")
     classes = components(links)
     degree = links.select(F.col("a").alias("d")).union(links.select(F.col("b").alias("d"))).groupBy("d").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = nodes.select("k1", "k2", "d", "n").join(classes.withColumnRenamed("node", "d"), "d", "left").join(degree, "d", "left").where("n > 1 or component is not null")
-    linked = stored(linked.select("k1", "k2", F.coalesce("component", "d").alias("class"), F.coalesce("n_links", F.lit(0)).alias("links")), "classes")
-    out = rows.select("doc_id", "k1", "k2", F.col("bands").isNotNull().alias("has_words")).join(linked, ["k1", "k2"], "left")
-    mine = F.coalesce(F.when(F.col("has_words") & F.col("doc_id").isNotNull(), F.col("class")), F.col("doc_id"))
-    out = out.select("doc_id", "k1", "k2", mine.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-    return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id")))
+    linked = nodes.select("k1", "k2", "d", "n", "first").join(classes.withColumnRenamed("node", "d"), "d", "left").join(degree, "d", "left").where("n > 1 or component is not null")
+    linked = stored(linked.select("k1", "k2", "first", F.coalesce("component", "d").alias("class"), F.coalesce("n_links", F.lit(0)).alias("links")), "classes")
+    best = linked.groupBy("class").agg(F.min(F.struct("first", "k1", "k2")).alias("best"))
+    linked = stored(linked.join(best, "class").select("k1", "k2", "links", "best"), "class-members")
+    out = rows.groupBy("doc_id", "k1", "k2", F.col("bands").isNotNull().alias("has_words")).agg(F.count(F.lit(1)).alias("times")).join(linked, ["k1", "k2"], "left")
+    one = F.col("has_words") & F.col("doc_id").isNotNull()
+    mine = F.when(one, F.coalesce("best.first", "doc_id")).otherwise(F.col("doc_id"))
+    is_best = F.col("best").isNull() | ((F.col("doc_id") == F.col("best.first")) & (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2")))
+    return out.select("doc_id", "k1", "k2", "times", mine.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), one.alias("one"), (~one | is_best).alias("best"))
+
+
+def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """A row for each row of docs: doc_id, k1, k2 (hashes of the text), class_id (least doc_id of its class), n_links (verified links of its text), kept."""
+    rows = verdicts(docs, settings).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return rows.select("doc_id", "k1", "k2", "class_id", "n_links", (F.col("best") & (~F.col("one") | (F.col("nth") == 1))).alias("kept"))
 
 
 def distinct_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs, all columns, without those that a class has beside its least doc_id."""
-    gone = near_duplicates(docs, settings).where("not kept").select(F.col("doc_id").alias("__dup_doc"), F.col("k1").alias("__dup_k1"), F.col("k2").alias("__dup_k2"))
-    text = F.coalesce("text", F.lit(""))
-    same = (F.col("doc_id").cast("long") == F.col("__dup_doc")) & (F.xxhash64(text) == F.col("__dup_k1")) & (F.xxhash64(text, F.lit(1)) == F.col("__dup_k2"))
-    return docs.join(gone, same, "left_anti")
+    """The rows of docs, all columns, without those that a class has beside the one that it keeps."""
+    doc, k1, k2 = free_names(docs, "_doc", "_k1", "_k2")
+    found = stored(verdicts(docs, settings).where("one and (not best or times > 1)").select(F.col("doc_id").alias(doc), F.col("k1").alias(k1), F.col("k2").alias(k2), "best"), "superfluous")
+    hashes = text_keys()
+    marked, keys = docs.withColumns({doc: F.col("doc_id").cast("long"), k1: hashes[0], k2: hashes[1]}), [doc, k1, k2]
+    out = marked.join(found.select(*keys), keys, "left_anti")
+    repeated = found.where("best").select(*keys)
+    if not repeated.isEmpty():
+        out = out.unionByName(marked.join(repeated, keys, "left_semi").dropDuplicates(keys))
+    return out.select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
