@@ -2,15 +2,18 @@
 
 Each document is cut into full windows, which are sequences of their own, and a remainder. For the remainders' histogram all
 combinations of at most `depth` lengths that fill the window exactly are enumerated, their repeat counts are solved as a
-non-negative least squares problem (accelerated projected gradient), rounded down and clipped to what the histogram holds.
-What is left is packed greedily, longest first: the residual lengths follow each other as one stream that is cut at the
-window, so only its last sequence is padded. Only the histogram (window - 1 counts) reaches the driver; each remainder finds
-its place from its rank among the remainders of its length, which is numbered without a hot task.
+non-negative least squares problem (accelerated projected gradient), rounded at random (to the whole number above with the
+probability of the fraction; seeded, so that reruns agree) and clipped to what the histogram holds. That is repeated for what
+is left while it places much. The residuals are packed greedily, longest first, each with the longest others that fill its
+window exactly. Only lengths without such partners are cut: they follow each other as one stream that is cut at the window,
+so only its last sequence is padded. Only the histogram (window - 1 counts) reaches the driver; each remainder finds its place
+from its rank among the remainders of its length, which is numbered without a hot task, by a search in the sorted bounds of
+the plan.
 
 Sequences are padded to the window, except where their length is a power of two.
 
 Defined results: a null text is empty and has the end id only; repeated rows and repeated doc_ids are packed as often as they
-occur; an empty table gives no rows; extra columns are ignored; texts of any length are encoded whole.
+occur; an empty table gives no rows; extra columns are ignored; texts of any length are encoded whole, some megabytes at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -80,28 +84,85 @@ def solve(rows: np.ndarray, histogram: np.ndarray, steps: int = 400) -> np.ndarr
     return x
 
 
-def plan(histogram: np.ndarray, window: int = WINDOW, depth: int = DEPTH) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray, int]:
-    """(length, rank from, rank to, first sequence, offset) of the combinations used, what is left of the histogram, and the number of sequences."""
-    rows = combinations(window, depth)
-    rows = rows[((histogram[rows] > 0) | (rows == 0)).all(axis=1)]
-    x, left, used, taken, sequence = solve(rows, histogram), histogram.astype(np.int64).copy(), [], np.zeros(len(histogram), dtype=np.int64), 0
-    for s in np.argsort(-x, kind="stable"):
-        want = int(np.floor(x[s] + 1e-6))
-        if not want:
-            break
-        lengths, each = np.unique(rows[s][rows[s] > 0], return_counts=True)
-        times = int(min(want, (left[lengths] // each).min()))
-        if times <= 0:
-            continue
+@dataclass
+class Plan:
+    """Of each placed run of remainders: its length, the ranks it holds (from low, below high), its first sequence and offset there."""
+
+    window: int
+    runs: list[tuple[int, int, int, int, int]] = field(default_factory=list)
+    sequences: int = 0
+    solved: int = 0
+    greedy: int = 0
+
+    def use(self, parts: list[int], times: int, left: list[int], taken: list[int]) -> None:
+        """Places `times` sequences of these lengths."""
         offset = 0
-        for length, k in zip(lengths.tolist()[::-1], each.tolist()[::-1]):
-            for _ in range(k):
-                used.append((length, int(taken[length]), int(taken[length]) + times, sequence, offset))
-                taken[length] += times
-                offset += length
-            left[length] -= k * times
-        sequence += times
-    return used, left, sequence
+        for length in parts:
+            self.runs.append((length, taken[length], taken[length] + times, self.sequences, offset))
+            taken[length] += times
+            left[length] -= times
+            offset += length
+        self.sequences += times
+
+
+def most(parts: list[int], left: list[int]) -> int:
+    """How often these lengths are all there."""
+    return min(left[n] // parts.count(n) for n in parts)
+
+
+def completion(gap: int, left: list[int], parts: int) -> list[int] | None:
+    """At most `parts` lengths, the longest first, that fill the gap exactly."""
+    if gap < len(left) and left[gap] > 0:
+        return [gap]
+    if parts < 2:
+        return None
+    tries = 0
+    for length in range(min(gap, len(left)) - 1, 0, -1):
+        if left[length] > 0 and (parts > 2 or length * 2 >= gap):
+            left[length] -= 1
+            rest = completion(gap - length, left, parts - 1)
+            left[length] += 1
+            if rest:
+                return [length, *rest]
+            tries += 1
+            if parts > 2 and tries == 24:
+                return None
+    return None
+
+
+def plan(histogram: np.ndarray, window: int = WINDOW, depth: int = DEPTH, rounds: int = 6) -> tuple[Plan, np.ndarray]:
+    """How the remainders counted in histogram are placed, and how many of each length are left."""
+    rows, rng = combinations(window, depth), np.random.Generator(np.random.PCG64(7))
+    out, left, taken, total = Plan(window), histogram.astype(np.int64).tolist(), [0] * len(histogram), int(histogram.sum())
+    for k in range(rounds):
+        now = np.array(left)
+        there = rows[((now[rows] > 0) | (rows == 0)).all(axis=1)]
+        if not len(there):
+            break
+        x = solve(there, now, 400 if k == 0 else 120)
+        want = np.floor(x + rng.random(len(x))).astype(np.int64)
+        order = np.argsort(-x, kind="stable")
+        before = out.solved
+        for s in order[want[order] > 0].tolist():
+            parts = [n for n in there[s].tolist() if n]
+            times = min(int(want[s]), most(parts, left))
+            if times > 0:
+                out.use(parts, times, left, taken)
+                out.solved += times * len(parts)
+        if out.solved - before < total // 50:
+            break
+    for length in range(window - 1, 0, -1):
+        while left[length] > 0:
+            left[length] -= 1
+            rest = completion(window - length, left, 3)
+            left[length] += 1
+            if not rest:
+                break
+            parts = [length, *rest]
+            times = most(parts, left)
+            out.use(parts, times, left, taken)
+            out.greedy += times * len(parts)
+    return out, np.array(left, dtype=np.int64)
 
 
 def encoded(docs: DataFrame, *, window: int, vocabulary: str, end_id: int) -> DataFrame:
@@ -140,35 +201,49 @@ def pack(docs: DataFrame, *, window: int = WINDOW, depth: int = DEPTH, vocabular
         histogram[r["rest"]] = r["n"]
     histogram[0] = 0
     n_full = sum(r["full"] for r in counts)
-    used, left, n_used = plan(histogram, window, depth)
+    made, left = plan(histogram, window, depth)
     full = lean.where("full > 0").select("doc_id", "doc_tokens", "full_before", F.posexplode("crcs").alias("k", "ids_crc32")).select(
         "doc_id", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("full_before") + F.col("k")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(window).cast("long").alias("padded")
     )
-    placed = sorted(used)
-    stream, stream_at = [], 0
+    stream_at = np.zeros(window, dtype=np.int64)
+    before = 0
     for length in range(window - 1, 0, -1):
-        if left[length]:
-            have = int(histogram[length] - left[length])
-            stream.append((length, have, stream_at))
-            stream_at += int(left[length]) * length
-    last = (stream_at - 1) // window if stream_at else 0
-    tail = stream_at - last * window
+        stream_at[length] = before
+        before += int(left[length]) * length
+    last = (before - 1) // window if before else -1
+    tail = before - last * window
     padded_tail = tail if tail & (tail - 1) == 0 else window
-    # At most window * depth rows and a few times the number of solved combinations: bounded by the window, not by the data.
-    spots = spark.createDataFrame([(a, b, c, d, e) for a, b, c, d, e in placed], "rest long, low long, high long, first long, offset long")
-    rests = spark.createDataFrame(stream, "rest long, low long, stream_at long")
-    start = (F.col("full") * window).alias("start")
-    fitted = lean.where("rest > 0").join(F.broadcast(spots), "rest").where("rank >= low and rank < high").select(
-        "doc_id", start, F.col("rest").alias("length"), F.col("rest_crc").alias("ids_crc32"), "doc_tokens", (F.col("first") + F.col("rank") - F.col("low") + n_full).alias("sequence_id"), "offset", F.lit(window).cast("long").alias("padded")
-    )
-    base = n_full + n_used
-    over = lean.where("rest > 0").join(F.broadcast(rests), "rest").where("rank >= low").withColumn("at", F.col("stream_at") + (F.col("rank") - F.col("low")) * F.col("rest")).withColumn("cut", F.least(F.col("rest"), window - F.pmod("at", F.lit(window))))
-    over = over.withColumn("seq", F.floor(F.col("at") / window).cast("long")).select("key", "doc_id", "doc_tokens", "full", "rest", "rest_crc", "at", "cut", "seq")
+    base = n_full + made.sequences
+    runs = np.array(sorted(made.runs), dtype=np.int64).reshape(-1, 5)
+    placed = histogram - left
+    # At most a few times window * window / 4 rows of three numbers: bounded by the window, not by the data.
+    spots = spark.sparkContext.broadcast((runs[:, 0] << 40 | runs[:, 1], runs[:, 3], runs[:, 4], placed, stream_at))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, first, offsets, placed, stream_at = spots.value
+        for b in batches:
+            rest, rank = b.column("rest").to_numpy(), b.column("rank").to_numpy()
+            key = rest << 40 | rank
+            at = np.searchsorted(bounds, key, "right") - 1
+            fits = rank < placed[rest]
+            seq, offset, cut = np.zeros(len(rest), dtype=np.int64), np.zeros(len(rest), dtype=np.int64), rest.copy()
+            seq[fits] = n_full + first[at[fits]] + key[fits] - bounds[at[fits]]
+            offset[fits] = offsets[at[fits]]
+            over = ~fits
+            where = stream_at[rest[over]] + (rank[over] - placed[rest[over]]) * rest[over]
+            seq[over], offset[over] = base + where // window, where % window
+            cut[over] = np.minimum(rest[over], window - where % window)
+            keep = [b.column(n) for n in ("key", "doc_id", "doc_tokens", "full", "rest", "rest_crc")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(offset), pa.array(cut)], names=["key", "doc_id", "doc_tokens", "full", "rest", "rest_crc", "seq", "offset", "cut"])
+
+    columns = "key long, doc_id long, doc_tokens long, full long, rest long, rest_crc long, seq long, offset long, cut long"
+    rests = lean.where("rest > 0").select("key", "doc_id", "doc_tokens", "full", "rest", "rest_crc", "rank").mapInArrow(place, columns)
+    rests = stored(rests, "packed-rests")
 
     def piece(df: DataFrame, crc, begin, length, seq, offset) -> DataFrame:
-        return df.select("doc_id", (F.col("full") * window + begin).alias("start"), length.alias("length"), crc.alias("ids_crc32"), "doc_tokens", (seq + base).alias("sequence_id"), offset.cast("long").alias("offset"), F.when(seq == last, F.lit(padded_tail)).otherwise(F.lit(window)).cast("long").alias("padded"))
+        return df.select("doc_id", (F.col("full") * window + begin).alias("start"), length.alias("length"), crc.alias("ids_crc32"), "doc_tokens", seq.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"), F.when(seq == base + last, F.lit(padded_tail)).otherwise(F.lit(window)).cast("long").alias("padded"))
 
-    whole = piece(over.where("cut = rest"), F.col("rest_crc"), F.lit(0), F.col("rest"), F.col("seq"), F.pmod("at", F.lit(window)))
+    whole = piece(rests.where("cut = rest"), F.col("rest_crc"), F.lit(0), F.col("rest"), F.col("seq"), F.col("offset"))
 
     def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,12 +255,12 @@ def pack(docs: DataFrame, *, window: int = WINDOW, depth: int = DEPTH, vocabular
             keep = [n for n in b.schema.names if n != "rest_ids"]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in keep], pa.array(head, type=pa.int64()), pa.array(tail, type=pa.int64())], names=[*keep, "head_crc", "tail_crc"])
 
-    split = over.where("cut < rest").join(rows.select("key", "rest_ids"), "key")
-    split = split.mapInArrow(crcs, "key long, doc_id long, doc_tokens long, full long, rest long, rest_crc long, at long, cut long, seq long, head_crc long, tail_crc long")
+    split = rests.where("cut < rest").join(rows.select("key", "rest_ids"), "key")
+    split = split.select("key", "doc_id", "doc_tokens", "full", "rest", "rest_crc", "seq", "offset", "cut", "rest_ids").mapInArrow(crcs, f"{columns}, head_crc long, tail_crc long")
     halves = split.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
     second = F.col("half") == 1
-    cut = piece(halves, F.when(second, F.col("tail_crc")).otherwise(F.col("head_crc")), F.when(second, F.col("cut")).otherwise(F.lit(0)), F.when(second, F.col("rest") - F.col("cut")).otherwise(F.col("cut")), F.col("seq") + F.col("half"), F.when(second, F.lit(0)).otherwise(F.pmod("at", F.lit(window))))
-    return full.unionByName(fitted).unionByName(whole).unionByName(cut)
+    cut = piece(halves, F.when(second, F.col("tail_crc")).otherwise(F.col("head_crc")), F.when(second, F.col("cut")).otherwise(F.lit(0)), F.when(second, F.col("rest") - F.col("cut")).otherwise(F.col("cut")), F.col("seq") + F.col("half"), F.when(second, F.lit(0)).otherwise(F.col("offset")))
+    return full.unionByName(whole).unionByName(cut)
 
 
 def op7_pack(spark, sf_dir: str) -> DataFrame:
