@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -36,12 +37,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        pre = kind.get("pre_tokenizer") or {}
-        usual = kind["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.by_word = bool(usual) and sys.byteorder == "little" and array("I").itemsize == 4 and not kind.get("normalizer") and not kind.get("post_processor")
-        self.added = [x["content"] for x in kind.get("added_tokens", [])]
+        kind = {n: json.loads(part.__getstate__()) if (part := getattr(self.tokenizer, n)) else None for n in ("normalizer", "pre_tokenizer", "post_processor")}
+        pre = kind["pre_tokenizer"] or {}
+        usual = type(self.tokenizer.model).__name__ == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.by_word = bool(usual) and sys.byteorder == "little" and array("I").itemsize == 4 and not kind["normalizer"] and not kind["post_processor"]
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.entries = entries
         self.cache: dict[str, bytes | None] = {}
         # The byte-level alphabet: visible bytes stand for themselves, the others for the characters from 256 on, in order.
@@ -77,33 +77,37 @@ class Encoder:
     def _with_space(self, words: list[str]) -> list[bytes | None]:
         """Of distinct words that a space precedes; None where there is no sure boundary before that space."""
         cache, parts = self.cache, self.parts.match
-        new = [w for w in words if w not in cache]
-        single, joined, odd, bare = set(), [], [], {"\n"}
-        for w in new:
+        out = [cache.get(w, False) for w in words]
+        new = [w for w, x in zip(words, out) if x is False]
+        if not new:
+            return out
+        plain = pc.match_substring_regex(pa.array(new, type=pa.large_string()), f"^[{_LETTERS}]+$").to_numpy(zero_copy_only=False)
+        letters, joined, odd, bare = [w for w, x in zip(new, plain.tolist()) if x], [], [], {"\n"}
+        single = set(letters)
+        for k in np.flatnonzero(~plain).tolist():
+            w = new[k]
             m = parts(w)
             if m is None:
                 odd.append(w)
-            elif m.end(1) == len(w):
-                single.add(w)
             else:
                 groups = m.groups("")
                 joined.append((w, groups))
                 if groups[0] not in cache:
                     single.add(groups[0])
                 bare.update(groups[1:])
-        letters = list(single)
-        cache.update(zip(letters, self._stretches([" " + w for w in letters])))
+        letters += single.difference(letters)
+        fresh: dict[str, bytes | None] = dict(zip(letters, self._stretches([" " + w for w in letters])))
         self._without_space(bare)
-        known = self.bare
+        known, end = self.bare, self.bare["\n"]
         for w, (a, b, c, d) in joined:
-            cache[w] = cache[a] + known[b] + known["\n"] + known[c] + known[d] if c else cache[a] + known[b]
+            first = fresh[a] if a in fresh else cache[a]
+            fresh[w] = first + known[b] + end + known[c] + known[d] if c else first + known[b]
         sure = [w for w in odd if self.safe.match(w)]
-        cache.update(dict.fromkeys(odd))
-        cache.update(zip(sure, self._library([" " + w for w in sure])))
-        out = [cache[w] for w in words]
-        for _ in range(len(cache) - self.entries):  # the newest go, words seen early are mostly the frequent ones
-            cache.popitem()
-        return out
+        fresh.update(dict.fromkeys(odd))
+        fresh.update(zip(sure, self._library([" " + w for w in sure])))
+        # Words seen early stay: they are mostly the frequent ones.
+        cache.update(itertools.islice(fresh.items(), max(0, self.entries - len(cache))))
+        return [fresh[w] if x is False else x for w, x in zip(words, out)]
 
     def _by_chunks(self, text: str) -> bytes:
         """Of a text where some spaces are no sure boundary."""

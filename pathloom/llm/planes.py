@@ -5,8 +5,9 @@ A file holds the ids of consecutive documents, cut into blocks of a fixed number
 The chunk index at the end gives each block's place, number of ids and plane lengths; the documents' ids and token counts
 stand there too. The last 16 bytes are the place and length of that index.
 
-Defined results: a null text counts as empty; rows are ordered by doc_id (nulls first), then by text, so repeated rows are
-repeated in the files; an empty table makes no files. Extra columns are ignored.
+Defined results: a null text counts as empty; rows are ordered by doc_id (nulls first), then by a hash of the text, then by text,
+so rows that share a doc_id are dealt over files and repeated rows are repeated there; texts of any length are encoded whole,
+some megabytes at a time; an empty table makes no files. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,8 +150,8 @@ def write_planes(docs: DataFrame, path: str, *, vocabulary: str | None = None, e
             w.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "n_docs": [len(w.docs)], "n_ids": [w.n_ids]})
 
-    lean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = lean.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    lean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    dealt = lean.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     manifest = dealt.mapInArrow(trimming(write), "part long, file string, n_docs long, n_ids long")
     manifest.write.parquet(f"{path}/manifest")
     rows = spark.read.parquet(f"{path}/manifest")
