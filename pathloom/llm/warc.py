@@ -4,25 +4,30 @@ One record for each page, in gzip members of their own, so that each can be read
 digest, page_id, type) is a table beside the archives; readers take from it the records they want, sort them by place and
 read neighbouring ranges at once.
 
-Of pages with equal payloads of at least `min_revisit` bytes, the one with the least page_id is a response and the others are
+Of pages with equal payloads of at least `min_revisit` bytes, the one with the least page_id is the response and the others are
 revisits: their block holds the HTTP head only (with the payload's length), their headers its digest and the response's page.
 Smaller payloads are always responses.
 
 Defined results: null html is an empty payload; a null url is empty; a null page_id is the last among equals (a group of nulls
-only has a null page as response); rows equal in page_id and payload that are the least of their group are all responses; an
-empty table makes no archives; extra columns are ignored.
+only has a null page as response); of rows equal in page_id and payload that are the least of their group, the first by url is the
+response and the others revisit it; payloads of any length are written whole; an empty table makes no archives; extra columns
+are ignored.
+
+A task's archive has a name of its own, and only the index of the attempt that counts names it: where a task runs twice, the
+other file is never read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, slices, table
@@ -30,6 +35,8 @@ from .files import created, opened
 
 #: Bytes between two wanted records that are read rather than left out, and the most bytes read at once.
 GAP, MOST = 1 << 16, 8 << 20
+#: Bytes of archives for a task that reads.
+TASK = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, type string"
 
@@ -75,22 +82,41 @@ def parse(member: bytes) -> dict:
     return {"page_id": page_of(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI", ""), "type": fields["WARC-Type"], "digest": digest, "refers_to": page_of(fields["WARC-Refers-To"]) if revisit else None, "payload_bytes": length, "payload": None if revisit else payload}
 
 
+def written(df: DataFrame, path: str) -> str:
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def write_archives(pages: DataFrame, path: str, *, min_revisit: int = 0) -> DataFrame:
     """pages: page_id, url, html. Writes archives and their index below path; returns the index."""
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
     lean = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("bytes"))
-    # Only groups of two and more are joined back; a hot payload is added up before it is shuffled.
-    groups = lean.where(F.col("bytes") >= min_revisit).groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1")
-    joined = lean.join(groups.select("digest", "bytes", "first", F.lit(True).alias("shared")), ["digest", "bytes"], "left")
-    revisits = F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = joined.select("page_id", "url", F.col("html").cast("binary").alias("html"), revisits.alias("revisits"), "first")
+    # Groups are added up before they are shuffled, and joined to rows without payloads; payloads are joined by page, so a common one doesn't meet in a task.
+    slim = lean.drop("html")
+    groups = slim.where(F.col("bytes") >= min_revisit).groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1")
+    members = slim.join(groups.drop("n"), ["digest", "bytes"]).groupBy("page_id", "digest", "bytes").agg(F.any_value("first").alias("first"), F.count(F.lit(1)).alias("times"))
+    members = members.select(F.col("page_id").alias("own"), F.col("digest").alias("d"), F.col("bytes").alias("b"), "first", "times")
+    members = spark.read.schema(members.schema).parquet(written(members, f"{path}/groups"))
+    met = F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b"))
+    least = F.col("page_id").eqNullSafe(F.col("first"))
+    several = members.where(F.col("own").eqNullSafe(F.col("first")) & (F.col("times") > 1))
+    revisits = F.col("d").isNotNull() & ~least
+    names = ["page_id", "url", "html", "revisits", "first"]
+    if several.isEmpty():
+        rows = lean.join(members, met, "left").withColumn("revisits", revisits).select(*names)
+    else:
+        rows = lean.join(members, met, "left").withColumn("revisits", revisits)
+        twice = least & (F.col("times") > 1) & F.col("d").isNotNull()
+        nth = F.row_number().over(Window.partitionBy("page_id", "digest", "bytes").orderBy("url"))
+        rows = rows.where(~F.coalesce(twice, F.lit(False))).select(*names).unionByName(rows.where(twice).withColumn("revisits", nth > 1).select(*names))
+    rows = rows.withColumn("html", F.col("html").cast("binary"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        uri, at, index = f"{path}/pages-{TaskContext.get().partitionId():06d}.warc.gz", 0, []
+        uri, at, index = f"{path}/pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, []
         with created(uri) as out:
             for b in slices((x for y in ([first], batches) for x in y), 500):
                 for page_id, url, payload, revisit, response in zip(*[c.to_pylist() for c in b.columns]):
@@ -146,7 +172,10 @@ def read_records(index: DataFrame, *, gap: int = GAP, most: int = MOST, payloads
         if rows:
             yield _records(rows, payloads)
 
-    by_file = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    places = index.select("file", "offset", "length")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK))
+    by_file = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return by_file.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
