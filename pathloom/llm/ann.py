@@ -1,28 +1,38 @@
 """Nearest neighbours by vantage-point trees, one for each shard of the vectors.
 
-Queries travel to each shard in blocks; a shard's tree is built where it is searched. At a node the distances of a block's
-queries to the vantage point bound those to either side by the triangle inequality; a side is left out if its bound, times
-`factor`, is above the query's k-th best distance so far. Factor 1 is exact; larger factors prune more.
+Shards are searched in waves of 1, 4, 16, ... shards. A task builds its shard's tree once and reads the queries block by block
+from the shared folder, each with the k-th best distance of the waves before as its bound; so only neighbours that may still
+count leave a task, and the nearest so far are merged after each wave. At a node the distances of a block's queries to the
+vantage point bound those to either side by the triangle inequality; a side is left out if its bound, times `factor`, is
+above the query's k-th best distance so far. Factor 1 is exact; larger factors prune more.
 
 Equal vectors of a shard are one point with the k + 1 least ids (more can't be among the k nearest). Distances are sums of squares
 in the order of the components, in double precision, so that equal vectors have equal scores wherever they lie.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null
-vec_id; vectors of different lengths are no neighbours of each other; rows that share the query's vec_id are its own; rows of
-equal vec_id and distance count once; ties go to the smaller vec_id; fewer candidates than k are all returned; an empty table
-gives no rows; extra columns are ignored.
+vec_id; vectors of different lengths are no neighbours of each other; rows that share the query's vec_id are its own; queries
+equal in vec_id and vector are one, those of one vec_id and different vectors have a list each; rows of equal vec_id and
+distance count once; ties go to the smaller vec_id; fewer candidates than k are all returned; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, stored, table
+from .files import place
 
-K, LEAF, SHARD, BLOCK = 10, 256, 16_384, 4_096
+K, LEAF, BLOCK, WAVE = 10, 256, 4_096, 4
+#: Vectors of a shard, at least and at most; small tables fall into some hundred shards.
+LEAST, MOST = 4_096, 65_536
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -56,12 +66,13 @@ class Tree:
 class Search:
     """The k nearest of a block of queries among a tree's points, each of which stands for several ids."""
 
-    def __init__(self, tree: Tree, ids: list[np.ndarray], queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float):
+    def __init__(self, tree: Tree, ids: list[np.ndarray], queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float, bounds: np.ndarray | None = None):
         self.tree, self.queries, self.query_ids, self.k, self.factor = tree, queries, query_ids, k, factor
         self.id_of = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         self.best = np.full((len(queries), k), np.inf)
         self.near = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.bounds = np.full(len(queries), np.inf) if bounds is None else bounds
         self.seen = 0  # distances computed to points of leaves
 
     def run(self) -> None:
@@ -88,7 +99,7 @@ class Search:
 
     def _some(self, side: tuple, qs: np.ndarray, bounds: np.ndarray) -> None:
         slack = bounds * (1 - 1e-12)  # a bound is a difference of rounded distances
-        self._visit(side[0], qs[slack * self.factor <= self.best[qs, -1]])
+        self._visit(side[0], qs[slack * self.factor <= np.minimum(self.best[qs, -1], self.bounds[qs])])
 
     def _leaf(self, rows: np.ndarray, qs: np.ndarray) -> None:
         d = distances(self.queries[qs], self.tree.points[rows])
@@ -113,41 +124,82 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(finite & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, factor: float = 1.0, leaf: int = LEAF, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows (shard, dim, vec_id, v) sorted by shard and dim: the vectors and ids of each shard and dim, equal rows once."""
+    now, rows = None, {}
+    for b in batches:
+        values, at = b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()
+        for key, i, low, high in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+            if key != now:
+                if rows:
+                    yield _arrays(rows)
+                now, rows = key, {}
+            v = values[low:high] + 0.0
+            rows[(i, v.tobytes())] = v
+    if rows:
+        yield _arrays(rows)
+
+
+def _arrays(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(list(rows.values())), np.array([i for i, _ in rows], dtype=np.int64)
+
+
+def blocks_of(path: str, block: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the parquet files below path, block by block."""
+    fs, folder = place(path)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(folder)), key=lambda x: x.path):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(block)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = K, factor: float = 1.0, leaf: int = LEAF, shard: int | None = None, block: int = BLOCK) -> DataFrame:
     """vectors, queries: vec_id, embedding. query_id, rank (from 1), vec_id, score of each query's k nearest vectors."""
-    points, asked = usable(vectors), usable(queries).dropDuplicates(["vec_id", "v"])
-    n_points, n_queries = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n_points // shard)), max(1, -(-n_queries // block))
-    spread = lambda column, n: F.pmod(F.xxhash64(column, F.lit(11)), F.lit(n))
-    numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    left = points.select("dim", spread("vec_id", shards).alias("shard"), F.explode(numbers(blocks)).alias("block"), "vec_id", "v")
-    right = asked.select(F.col("dim").alias("qdim"), F.explode(numbers(shards)).alias("qshard"), spread("vec_id", blocks).alias("qblock"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-
-    def search(candidates: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not candidates.num_rows or not wanted.num_rows:
-            return _result([], [], [])
-        x = np.array(candidates.column("v").combine_chunks().values.to_numpy()).reshape(candidates.num_rows, -1)
-        q = np.array(wanted.column("q").combine_chunks().values.to_numpy()).reshape(wanted.num_rows, -1)
-        ids = candidates.column("vec_id").to_numpy()
-        order = np.lexsort((ids, *x.T[::-1]))
-        x, ids = x[order] + 0.0, ids[order]
-        new = np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])
-        starts = np.flatnonzero(new)
-        groups = [g[: k + 1] for g in map(np.unique, np.split(ids, starts[1:]))]
-        qids = wanted.column("query_id").to_numpy()
-        s = Search(Tree(x[starts], leaf), groups, q, qids, k, factor)
-        s.run()
-        found = np.isfinite(s.best)
-        return _result(np.repeat(qids, found.sum(axis=1)), s.near[found], s.best[found])
-
-    got = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("qdim", "qshard", "qblock")).applyInArrow(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")  # k rows of each shard
-    got = got.dropDuplicates(["query_id", "vec_id", "score"])
-    return got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _result(query_ids, vec_ids, scores) -> pa.Table:
-    return pa.table({"query_id": pa.array(query_ids, type=pa.int64()), "vec_id": pa.array(vec_ids, type=pa.int64()), "score": pa.array(scores, type=pa.float64())})
+    spark = vectors.sparkSession
+    points = usable(vectors)
+    asked = usable(queries).dropDuplicates(["vec_id", "v"]).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("qkey"), F.col("v").alias("q"))
+    asked = stored(asked, "queries")
+    n_points = vectors.count()
+    shard = shard or min(MOST, max(LEAST, n_points // 256))
+    shards, blocks = max(1, -(-n_points // shard)), max(1, -(-asked.count() // block))
+    number = F.pmod(F.xxhash64(F.lit(11), "vec_id", "v"), F.lit(shards)).cast("int")
+    dealt = points.select(number.alias("shard"), "dim", "vec_id", "v")
+    row = "query_id long, qkey long, vec_id long, score double"
+    best: DataFrame = spark.createDataFrame([], row)
+    first, last = 0, 1
+    while first < shards:
+        bounds = best.groupBy("query_id", "qkey").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("bound")).where(F.col("n") == k).drop("n")
+        path = scratch(spark, "query-blocks")
+        asked.join(bounds, ["query_id", "qkey"], "left").select("query_id", "qkey", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound")).repartition(blocks).write.parquet(path)
+
+        def search(batches: Iterator[pa.RecordBatch], path: str = path) -> Iterator[pa.RecordBatch]:
+            for x, ids in shards_of(batches):
+                order = np.lexsort((ids, *x.T[::-1]))
+                x, ids = x[order], ids[order]
+                new = np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])
+                starts = np.flatnonzero(new)
+                groups = [g[: k + 1] for g in map(np.unique, np.split(ids, starts[1:]))]
+                tree = Tree(x[starts], leaf)
+                for b in blocks_of(path, block):
+                    own = np.flatnonzero(np.diff(b.column(2).offsets.to_numpy()) == x.shape[1])
+                    if not len(own):
+                        continue
+                    b = b.take(pa.array(own))
+                    q = b.column(2).flatten().to_numpy().reshape(len(own), -1) + 0.0
+                    qids, qkeys, bound = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy()
+                    s = Search(tree, groups, q, qids, k, factor, bound)
+                    s.run()
+                    found = np.isfinite(s.best) & (s.best <= bound[:, None])
+                    n = found.sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.repeat(qkeys, n)), pa.array(s.near[found]), pa.array(s.best[found])], names=["query_id", "qkey", "vec_id", "score"])
+
+        part = dealt.where((F.col("shard") >= first) & (F.col("shard") < last)).repartition(min(last, shards) - first, "shard").sortWithinPartitions("shard", "dim")
+        order = Window.partitionBy("query_id", "qkey").orderBy("score", "vec_id")  # at most k rows of each shard of a wave
+        both = part.mapInArrow(search, row).union(best).dropDuplicates(["query_id", "qkey", "vec_id", "score"])
+        best = stored(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "nearest")
+        first, last = last, last * (WAVE + 1)
+    order = Window.partitionBy("query_id", "qkey").orderBy("score", "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_vantage_points(spark, sf_dir: str) -> DataFrame:
@@ -162,10 +214,10 @@ WITH v AS (
 ), u AS (
   SELECT vec_id, v FROM v WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
 ), p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score
+  SELECT q.vec_id AS query_id, q.v AS q, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score
   FROM u q JOIN u c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM (SELECT DISTINCT * FROM p)
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id, q ORDER BY score, vec_id) AS INTEGER) AS rank FROM (SELECT DISTINCT * FROM p)
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
