@@ -22,13 +22,12 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (a != b, any type that orders and joins). Gives node, component (the component's least node); nodes without edges don't occur.
+    """edges: a, b (a != b, any type that orders and joins), best a stored table. Gives node, component (the component's least node); nodes without edges don't occur.
 
     Each round is a table in the shared folder; rounds grow with the logarithm of the longest path. Only a count and a sum of
     hashes of each round reach the driver.
     """
-    mark = None
-    now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    mark, now = None, edges.select("a", "b").where("a <> b")
     while True:
         now = stored(_small(_large(now)).where("a <> b").distinct(), "stars")
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

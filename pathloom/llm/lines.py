@@ -8,11 +8,12 @@ take their sequences of four characters (the few in between take both). A featur
 blocks and votes on the 40 bits of that block only, so an edit disturbs the blocks that its features are dealt to and no
 others. By the pigeonhole principle, two forms that differ in fewer features than they have blocks agree in a block. The level
 follows from the length, in steps of two; forms close to a step take part in both levels, so two forms whose lengths differ by
-a tenth at most have a level in common. Classes meet in a join on each block on which at least two features voted.
+a tenth at most have a level in common. Classes meet in a join on each block on which enough features voted (three words, or
+four sequences).
 
-In a block's bucket all are compared with its least class, then any two that are not in one group by now: each two of a bucket
-are verified or in one group, however large it is. Candidates are verified by the edit similarity of their normal forms, and
-connected groups of classes keep one occurrence: the first by doc_id, then by line.
+In a block's bucket all are compared with one central class (with eight in buckets of over sixteen), then any two that are not in
+one group by now: each two of a bucket are verified or in one group, however large it is. Candidates are verified by the edit
+similarity of their normal forms, and connected groups of classes keep one occurrence: the first by doc_id, then by line.
 
 Defined results: a null text has no lines and stays null; lines without a letter or digit are kept as they are; lines of any
 length take part; of rows equal in doc_id and text one keeps its lines and the others lose them; ties go to the least
@@ -32,9 +33,11 @@ from .components import components
 _OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 #: Features: words of so many characters or more, or sequences of so many characters; the counts of words that are enough, or too many, for either.
-LONG, GRAM, ENOUGH, MANY = 5, 4, 5, 7
+LONG, GRAM, ENOUGH, MANY = 5, 4, 5, 9
 #: Characters of a form for its first four blocks, with features of either kind.
-WORD_UNIT, GRAM_UNIT = 180, 18
+WORD_UNIT, GRAM_UNIT = 180, 14
+#: Votes that make a block count, of either kind; the size up to which a bucket has one centre, and the number of centres beyond.
+LEAST_WORDS, LEAST_GRAMS, SMALL, CENTRES = 3, 4, 16, 8
 #: Forms are similar whose lengths differ by a tenth at most.
 SIMILARITY = 0.9
 
@@ -94,13 +97,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
         high, low = level(F.col("n"), unit), level(F.col("n") * F.lit(SIMILARITY) - F.lit(1e-6), unit)
         part = lambda lv, k=kind, f=features: F.struct((lv + F.lit(k)).alias("tag"), F.call_function("shiftleft", F.lit(4).cast("long"), lv).alias("blocks"), F.col(f).alias("features"))
         parts += [F.when(there, part(high)), F.when(there & (low < high), part(low))]
-    dealt = both.select(*ids, F.explode(F.array_compact(F.array(*parts))).alias("p")).select(*ids, "p.tag", "p.blocks", F.explode("p.features").alias("x"))
+    dealt = both.select(*ids, F.explode(F.array(*parts)).alias("p")).where("p is not null").select(*ids, "p.tag", "p.blocks", F.explode("p.features").alias("x"))
     block = F.shiftrightunsigned(F.shiftrightunsigned("x", 32) * F.col("blocks"), 32)
     votes = dealt.select(*ids, "tag", block.alias("block"), *[v.alias(f"v{k}") for k, v in enumerate(lane_votes("x"))])
     votes = votes.select(*ids, "tag", F.shiftrightunsigned("block", 2).alias("four"), F.col("block").bitwiseAND(F.lit(3).cast("long")).alias("j"), "v0", "v1", "v2", "v3")
     sums = [F.count(F.when(F.col("j") == j, 1)).alias(f"n{j}") for j in range(4)] + [F.sum(F.when(F.col("j") == j, F.col(f"v{k}")).otherwise(F.lit(0).cast("long"))).alias(f"s{j}{k}") for j in range(4) for k in range(4)]
     counted = votes.groupBy(*ids, "tag", "four").agg(*sums)
-    keys = [F.when(F.col(f"n{j}") >= 2, F.xxhash64("tag", "four", F.lit(j), simhash([F.col(f"s{j}{k}") for k in range(4)], F.col(f"n{j}")))) for j in range(4)]
+    enough = F.when(F.col("tag") < 64, LEAST_WORDS).otherwise(LEAST_GRAMS)
+    keys = [F.when(F.col(f"n{j}") >= enough, F.xxhash64("tag", "four", F.lit(j), simhash([F.col(f"s{j}{k}") for k in range(4)], F.col(f"n{j}")))) for j in range(4)]
     return counted.select(*ids, F.array_compact(F.array(*keys)).alias("keys")).groupBy(*ids).agg(F.flatten(F.collect_list("keys")).alias("keys"))  # a line's own blocks
 
 
@@ -136,17 +140,18 @@ def _check(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return inner.where(close).select("a", "b")
 
 
-def unsettled_pairs(met: DataFrame, group: DataFrame, similarity: float, salt: int = 256) -> DataFrame:
-    """met: key, c, n and the key's centre; group: c, g. The pairs (a, b) that share a key, are in different groups and of like length, but for those with the centre.
+def unsettled_pairs(met: DataFrame, centres: DataFrame, group: DataFrame, similarity: float, salt: int = 256) -> DataFrame:
+    """met: key, c, n (length); centres: key, centre; group: c, g. The pairs (a, b) that share a key, are in different groups and of
+    like length, but for those with a centre.
 
     In each key's bucket, all meet those outside its largest group, whose members don't meet each other. The others are dealt
     over salts, for which the members are repeated.
     """
-    members = met.join(group, "c", "left").select("key", "centre", "c", "n", F.coalesce("g", "c").alias("g"))
+    members = met.join(group, "c", "left").select("key", "c", "n", F.coalesce("g", "c").alias("g"))
     sizes = members.groupBy("key", "g").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "g")).alias("m"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     main = main.select("key", F.col("m.g").alias("main"), F.ceil((F.col("all") - F.col("m.size")) / salt).cast("long").alias("salts"))
-    members = stored(members.join(main, "key").where("c <> centre"), "unsettled-lines")
+    members = stored(members.join(main, "key").join(centres.withColumnRenamed("centre", "c"), ["key", "c"], "left_anti"), "unsettled-lines")
     others = members.where("g <> main").select("key", F.pmod(F.xxhash64("c"), "salts").alias("salt"), F.col("c").alias("e"), F.col("n").alias("o"), F.col("g").alias("h"))
     dealt = members.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     once = (F.col("g") == F.col("main")) | (F.col("c") < F.col("e"))
@@ -157,11 +162,14 @@ def unsettled_pairs(met: DataFrame, group: DataFrame, similarity: float, salt: i
 
 def groups(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """classes: c, size (length), first (k1, k2, doc_id, pos), keys. c and group (least c) of the classes that fuzzy links join to others."""
-    blocks = classes.select("c", "size", F.explode("keys").alias("key"))
-    buckets = stored(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("centre"), F.max("c").alias("last")).where("centre < last"), "line-buckets")
-    met = stored(blocks.withColumnRenamed("size", "n").join(buckets.where("n > 2").select("key", "centre"), "key"), "line-members")
-    stars = met.where("c <> centre").select(F.col("centre").alias("a"), F.col("c").alias("b"))
-    pairs = stored(buckets.where("n = 2").select(F.col("centre").alias("a"), F.col("last").alias("b")).union(stars).distinct(), "line-pairs")
+    blocks = classes.select("c", F.col("size").alias("n"), F.explode("keys").alias("key"))
+    buckets = stored(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("c").alias("first"), F.max("c").alias("last")).where("first < last"), "line-buckets")
+    met = stored(blocks.join(buckets.where("members > 2").select("key", "members"), "key"), "line-members")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("c"), "c")
+    centres = met.withColumn("at", F.row_number().over(order)).where((F.col("at") <= CENTRES) & ((F.col("at") == 1) | (F.col("members") > SMALL))).select("key", F.col("c").alias("centre"))
+    centres = stored(centres, "line-centres")
+    stars = met.join(centres, "key").where("c <> centre").select(F.least("centre", "c").alias("a"), F.greatest("centre", "c").alias("b"))
+    pairs = stored(buckets.where("members = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).union(stars).distinct(), "line-pairs")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes, "c")
@@ -169,7 +177,7 @@ def groups(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY)
         return stored(_check(pairs, texts, similarity), name)
 
     group = stored(components(checked(pairs, "line-links")), "line-groups")
-    rest = stored(unsettled_pairs(met, group.select(F.col("node").alias("c"), F.col("component").alias("g")), similarity), "line-rest")
+    rest = stored(unsettled_pairs(met, centres, group.select(F.col("node").alias("c"), F.col("component").alias("g")), similarity), "line-rest")
     if not rest.isEmpty():
         more = checked(rest, "more-line-links")
         if not more.isEmpty():

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, trimming
+from .common import free_names, slices, stored, table, trimming
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
@@ -104,8 +104,9 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def accepted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that pass, with all their columns: rules are measured once for the hosts and once for the documents."""
+    (host,) = free_names(docs, "_bad_host")
     rows = measured(docs, rules).select("source", _failed(F.col("n_words"), F.col("n_repeat_words"), rules).alias("base_failed"))
-    bad = stored(host_verdicts(stored(_by_host(rows), "hosts"), rules).where("host_failed").select(F.col("source").alias("__bad_host")), "bad-hosts")
+    bad = stored(host_verdicts(stored(_by_host(rows), "hosts"), rules).where("host_failed").select(F.col("source").alias(host)), "bad-hosts")
     window = rules.window
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +119,7 @@ def accepted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             yield b.filter(pa.array(keep, type=pa.bool_()))
 
     good = docs.mapInArrow(trimming(passes), docs.schema)
-    return good.join(bad, good["source"].eqNullSafe(bad["__bad_host"]), "left_anti")
+    return good.join(bad, good["source"].cast("string").eqNullSafe(bad[host]), "left_anti")
 
 
 def op6_host_rules(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
+from helpers import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -73,7 +75,7 @@ def test_planes_round_trip(ids, by):
 def test_op2(spark, odd_docs, library, by):
     manifest = planes.write_planes(odd_docs, scratch(spark, "t"), by=by, block=50)
     found = [tuple(r) for r in planes.read_planes(manifest).collect()]
-    rows = sorted(((d, t or "") for d, t in odd_docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = [(d, t) for d, t in odd_docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("t"), "t").collect()]
     wanted, start = [], 0
     for d, t in rows:
         ids = np.array([*library(t), 0], dtype="<u4")
@@ -121,16 +123,32 @@ def test_packing_plan_uses_no_more_than_there_is():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 50, 128)
     h[0], h[90] = 0, 3000
-    used, left, n = packing.plan(h, 128, 3)
+    made, left = packing.plan(h, 128, 3)
     fill = collections.Counter()
-    for length, low, high, first, _ in used:
+    for length, low, high, first, _ in made.runs:
         for k in range(high - low):
             fill[first + k] += length
-    assert set(fill.values()) == {128} and len(fill) == n and n > 0
+    assert set(fill.values()) == {128} and len(fill) == made.sequences and made.sequences > 0
     taken = collections.Counter()
-    for length, low, high, _, _ in used:
-        taken[length] += high - low
-    assert all(taken[k] + left[k] == h[k] for k in range(128))
+    for length, low, high, _, _ in sorted(made.runs):
+        assert low == taken[length]
+        taken[length] = high
+    assert all(taken[k] + left[k] == h[k] for k in range(128)) and made.solved + made.greedy == sum(taken.values())
+
+
+def test_packing_places_most_pieces_by_the_solved_combinations(library):
+    texts = pa.parquet.read_table(f"{DATA.replace('sf0.001', 'sf0.1').replace('sf0.01', 'sf0.1')}/documents.parquet", columns=["text"]).column(0).combine_chunks().fill_null("")
+    h = np.bincount([(len(x) + 1) % 1024 for x in Encoder(vocabulary_path()).encode_column(texts)], minlength=1024)
+    h[0] = 0
+    made, left = packing.plan(h)
+    assert made.solved >= 0.8 * h.sum() and made.solved + made.greedy + left.sum() == h.sum()
+
+
+def test_greedy_packing_completes_windows_exactly():
+    h = np.zeros(64, dtype=np.int64)
+    h[[40, 10, 9, 5, 63]] = [7, 7, 7, 7, 3]
+    made, left = packing.plan(h, 64, 2)
+    assert made.solved == 0 and made.greedy == 28 and left.sum() == 3
 
 
 # Words
@@ -235,27 +253,50 @@ def test_op10(odd_docs, no_docs, prose):
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
 
 
-def test_newton_solves_the_dual(spark):
-    ratios = [1e-9, 0.01, 0.5, 1.0, 1.7, 3.0]
-    df = spark.createDataFrame([(1000.0, 1000.0 * r) for r in ratios], "size double, target double")
-    got = [r.w for r in df.select(F.exp(mixing.newton(F.col("size"), F.col("target"))).alias("w")).collect()]
-    assert got == pytest.approx(ratios, rel=1e-12)
+def test_multipliers_solve_the_dual(spark):
+    """Against a search by halving; documents of one source are tilted by their size."""
+    rng = random.Random(5)
+    sizes, sources = [], []
+    for k, ratio in enumerate((1e-6, 0.01, 0.5, 1.0, 1.7, 2.9, 2.9999, 3.0, 0.0)):
+        own = collections.Counter(int(rng.expovariate(0.02)) for _ in range(300)) | collections.Counter({30_000: 1})
+        total = sum(s * n for s, n in own.items())
+        sizes += [(k, s, n) for s, n in own.items()]
+        sources.append((k, total / sum(own.values()), total * ratio, total))
+    got = {r.source_no: r.x for r in mixing.multipliers(spark.createDataFrame(sizes, "source_no long, size long, n long"), spark.createDataFrame(sources, "source_no long, mean double, target double, source_size long")).collect()}
+    for k, mean, target, total in sources:
+        if not 0 < target < 3 * total:
+            assert got[k] is None
+            continue
+        words = lambda x, k=k, mean=mean: sum(n * s * min(3.0, np.exp(min(4.0, x * s / mean))) for j, s, n in sizes if j == k)
+        low, high = -1e5, 1e5
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if words((low + high) / 2) < target else (low, (low + high) / 2)
+        assert words(got[k]) == pytest.approx(target, rel=1e-9, abs=1e-8) and got[k] == pytest.approx(low, rel=1e-6, abs=1e-9)
+
+
+def test_mixed_deals_copies_to_equal_rows_in_turn(spark):
+    text = "w " * 40
+    docs = spark.createDataFrame([(1, text, "a", i) for i in range(5)] + [(2, "x " * 300, "b", 9), (3, None, None, 1)], "doc_id long, text string, source string, _k1 long")
+    times = collections.Counter((r.doc_id, r._k1) for r in mixing.mixed(docs).collect())
+    taken = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id] += r.copies
+    own = [times[(1, i)] for i in range(5)]
+    assert sum(own) == taken[1] and max(own) - min(own) <= 1 and times[(2, 9)] == taken[2]
 
 
 # Lines
-def _simhash(words):
-    import struct
-
-    hashes = [w & (1 << 64) - 1 for w in words]
-    return struct.unpack("<q", struct.pack("<Q", sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) > len(hashes) // 2)))[0] if hashes else None
+def _simhash(hashes):
+    bits = [6 * lane + k for lane in range(10) for k in range(4)]
+    return sum(1 << b for b in bits if sum(h >> b & 1 for h in hashes) > len(hashes) // 2)
 
 
 def test_simhash(spark):
     rng = random.Random(6)
-    sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 50, 127, 500)] + [[-1] * 127, [-1] * 32_767, [1 << 62] * 32_766 + [0]]
+    sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 10, 31)] + [[-1] * 31, [0, -1], [-1, -1, 0]]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(sets)], "i long, h array<long>").select("i", F.explode("h").alias("h"))
-    sums = df.groupBy("i").agg(F.count("h").alias("n"), *lines.lane_sums("h"))
-    assert [r.s for r in sums.orderBy("i").select(lines.simhash(F.col("n")).alias("s")).collect()] == [_simhash(x) for x in sets]
+    sums = df.groupBy("i").agg(F.count("h").alias("n"), *[F.sum(v).alias(f"s{k}") for k, v in enumerate(lines.lane_votes("h"))])
+    assert [r.s for r in sums.orderBy("i").select(lines.simhash([F.col(f"s{k}") for k in range(4)], F.col("n")).alias("s")).collect()] == [_simhash(x) for x in sets]
 
 
 def test_edit_check_is_exact(spark):
@@ -287,51 +328,102 @@ def _edit(a, b):
     return row[-1]
 
 
-def _kept_lines(spark, docs):
-    """By brute force over all pairs of normal forms."""
-    rows = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("w", lines.normal_words(F.col("line"))).withColumn("h", F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))).orderBy(F.col("doc_id").asc_nulls_first(), "pos").collect()
-    forms, first = {}, {}
-    for r in rows:
-        form = " ".join(r.w)
-        if form:
-            forms.setdefault(form, _simhash(r.h))
-            first.setdefault(form, (r.doc_id, r.pos))
-    names = list(forms)
-    parent = {f: f for f in names}
+def _near(forms, similarity=0.9):
+    """By brute force: all pairs of forms whose edit similarity alone is high enough."""
+    import duckdb
+
+    letters = sorted({c for f in forms for c in f})
+    counts = np.array([[f.count(c) for c in letters] for f in forms], dtype=np.int32).reshape(len(forms), -1)
+    sizes, pairs = np.array([len(f) for f in forms]), []
+    for i in range(1, len(forms)):
+        allowed = np.floor(np.maximum(sizes[:i], sizes[i]) * (1 - similarity) + 1e-9)
+        gap = counts[:i] - counts[i]  # an edit changes the count of one letter up and of one down
+        bound = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1))
+        pairs += [(i, int(j), int(allowed[j])) for j in np.flatnonzero(bound <= allowed)]
+    if not pairs:
+        return set()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (i INT, j INT, allowed INT, a VARCHAR, b VARCHAR)")
+    con.executemany("INSERT INTO p VALUES (?, ?, ?, ?, ?)", [(i, j, n, forms[i], forms[j]) for i, j, n in pairs])
+    return {(forms[i], forms[j]) for i, j in con.execute("SELECT i, j FROM p WHERE levenshtein(a, b) <= allowed").fetchall()}
+
+
+def _groups(pairs):
+    parent = {}
 
     def root(f):
+        parent.setdefault(f, f)
         while parent[f] != f:
             f = parent[f]
         return f
 
-    mask = (1 << 64) - 1
-    for i, a in enumerate(names):
-        for b in names[:i]:
-            x = (forms[a] ^ forms[b]) & mask
-            same = sum((x >> 16 * k & 0xFFFF) == 0 for k in range(4))
-            most = max(len(a), len(b))
-            if bin(x).count("1") <= 8 and same >= 2 and abs(len(a) - len(b)) <= most // 10 and _edit(a, b) <= int(most * (1 - 0.9) + 1e-9):
-                parent[root(a)] = root(b)
-    best = {}
-    order = lambda p: (p[0] is not None, p[0] or 0, p[1])
-    for f in names:
-        best[root(f)] = min(best.get(root(f), first[f]), first[f], key=order)
-    return collections.Counter((r.doc_id, r.line) for r in rows if not any(r.w) or best[root(" ".join(r.w))] == (r.doc_id, r.pos))
-
-
-def test_op3(spark, prose):
-    found = collections.Counter((r.doc_id, x) for r in lines.deduplicated(prose.select("doc_id", "text")).collect() for x in (r.text.split("\n") if r.text or not r._n_dropped else []))
-    wanted = _kept_lines(spark, prose)
-    assert found == wanted
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    return {f: root(f) for f in list(parent)}
+
+
+def _compared(spark, docs):
+    """The share of edit-similar pairs of which one line goes; fails where a line goes without a similar one before it, or where two equal ones stay."""
+    rows = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("form", lines.normal_form(F.col("line"))).collect()
+    gone = {(r.k1, r.k2): set(r.gone) for r in lines.repeats(docs).collect()}
+    k1, k2 = lines.doc_keys()
+    keys = {r.doc_id: (r.a, r.b) for r in docs.select("doc_id", k1.alias("a"), k2.alias("b")).collect()}
+    kept = {r.form for r in rows if r.form and r.pos not in gone.get(keys[r.doc_id], ())}
+    stay = collections.Counter(r.form for r in rows if r.form and r.pos not in gone.get(keys[r.doc_id], ()))
+    assert all(n == 1 for n in stay.values())
+    forms = sorted({r.form for r in rows if r.form})
+    near = _near(forms)
+    group = _groups(near)
+    for f in set(forms) - kept:  # each that goes leaves one of its own group
+        assert any(g in kept for g in group if group[g] == group.get(f)), f
+    assert not any(r.form == "" and r.pos in gone.get(keys[r.doc_id], ()) for r in rows)
+    return near, [p for p in near if not set(p) <= kept]
+
+
+def test_op3_finds_edit_similar_lines(spark, prose):
+    near, caught = _compared(spark, prose.select("doc_id", "text"))
+    assert len(near) > 5 and len(caught) >= 0.9 * len(near)
+
+
+def test_op3_recall_on_documents(spark):
+    """Against all pairs by edit similarity alone, for every line of a table."""
+    docs = spark.read.parquet(f"{DATA.rsplit('/', 1)[0]}/sf0.001/documents.parquet").select("doc_id", "text")
+    near, caught = _compared(spark, docs)
+    assert len(near) > 20 and len(caught) >= 0.9 * len(near)
+
+
+@pytest.mark.parametrize(("words", "changed"), [(12, 1), (20, 1), (40, 2), (80, 4), (300, 15)])
+def test_op3_recall_for_changed_words(spark, words, changed):
+    """Pairs of lines of which some words are others."""
+    rng = random.Random(words)
+    syllables = ["ka", "to", "mi", "ren", "sol", "ta", "ver", "lin", "o", "e"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.choice((1, 1, 2, 2, 3, 3, 4))))
+    texts = []
+    while len(texts) < 240:
+        a = [word() for _ in range(words)]
+        b = list(a)
+        for k in rng.sample(range(words), changed):
+            b[k] = word()
+        x, y = " ".join(a), " ".join(b)
+        cost = sum(max(len(v), len(w)) for v, w in zip(a, b) if v != w)  # at least the edit distance
+        if x != y and cost <= int(max(len(x), len(y)) * (1 - lines.SIMILARITY) + 1e-9):
+            texts += [x, y]
+    out = {r.doc_id: r._n_dropped for r in lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(out[k] for k in range(0, 240, 2)) == 0 and sum(out[k] for k in range(1, 240, 2)) >= 0.9 * 120
 
 
 def test_op3_odd(odd_docs, no_docs):
     out = {r.doc_id: r for r in lines.deduplicated(odd_docs).collect()}
     assert out[3].text is None and out[5].text == "" and out[7]._n_dropped == 0
-    assert out[1]._n_dropped == 0 and out[2].text == "\nthird" and out[9]._n_dropped == 1
+    ones = [r for r in lines.deduplicated(odd_docs).collect() if r.doc_id == 1]
+    assert sorted(r._n_dropped for r in ones) == [0, 2] and sorted(len(r.text) for r in ones)[0] == 0
+    assert out[2].text == "\nthird" and out[9]._n_dropped == 1
     assert out[1]._k1 == 3 and out[9]._k1 == 3
     rows = lines.without_repeated_lines(odd_docs)
-    assert rows.columns == odd_docs.columns and rows.count() == odd_docs.count()
+    assert rows.columns == odd_docs.columns and rows.count() == odd_docs.count() - 1
+    clash = odd_docs.withColumns({n: F.lit(5) for n in ("_n_lines", "_N_dropped", "_gone", "_nth", "_again", "k1", "h1")})
+    kept = lines.without_repeated_lines(clash)
+    assert kept.columns == clash.columns and kept.count() == rows.count() and {r._gone for r in kept.collect()} == {5}
     assert lines.without_repeated_lines(no_docs).count() == 0
 
 
@@ -345,20 +437,35 @@ def test_op3_large_buckets(spark):
 
 
 def test_op3_large_buckets_are_compared_completely(spark):
-    """Forms that differ both near their start and near their end, of one bucket: near ones are found wherever the order puts them."""
+    """Many forms of one bucket that are far from each other, but for pairs: all pairs are found."""
     rng = random.Random(3)
-    body = [f"x{k}" for k in range(400)]
+    shared = ["alphabet", "boulevard", "catalogue", "dictionary"] * 3
     texts = []
-    for _ in range(22):
-        own = ["".join(rng.choice("abcdefgh") for _ in range(250)) for _ in range(2)]
-        texts += [" ".join([f"{rng.randrange(10**9)}", own[0], *body, own[1], f"{rng.randrange(10**9)}"]) for _ in range(2)]
+    for _ in range(60):
+        own = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(5, 9))) for _ in range(40)]
+        texts += [" ".join([*shared, *own]), " ".join([*shared, *own[:-1], "changed"])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lines.occurrences(docs).select("doc_id", F.explode("keys").alias("key")).collect()
+    sizes = collections.Counter(r.key for r in rows)
+    of = collections.defaultdict(set)
+    for r in rows:
+        of[r.doc_id].add(r.key)
+    assert all(of[d] & of[d + 1] for d in range(0, 120, 2))
     kept = {r.doc_id for r in lines.deduplicated(docs).where("_n_dropped = 0").collect()}
-    rows = {r.doc_id: r.s for r in lines.occurrences(docs).collect()}
-    mask = (1 << 64) - 1
-    met = lambda a, b: (x := (rows[a] ^ rows[b]) & mask).bit_count() <= 8 and sum((x >> 16 * k & 0xFFFF) == 0 for k in range(4)) >= 2
-    near = [d for d in range(0, 44, 2) if met(d, d + 1)]
-    assert len(near) > 6 and kept == set(range(44)) - {d + 1 for d in near}
+    assert kept == set(range(0, 120, 2)), max(sizes.values())
+
+
+def test_op3_settles_each_two_of_a_bucket(spark):
+    """Of a bucket of many classes, all pairs that are in different groups by then are compared."""
+    rng = random.Random(7)
+    classes, keys = list(range(200)), [9] * 200
+    met = spark.createDataFrame([(k, c, 100) for k, c in zip(keys, classes)], "key long, c long, n int")
+    centres = spark.createDataFrame([(9, 3), (9, 50)], "key long, centre long")
+    own = {c: rng.choice([0, 0, 0, 1, 2, c + 1000]) for c in classes}
+    group = spark.createDataFrame([(c, g) for c, g in own.items() if g < 1000], "c long, g long")
+    found = {(r.a, r.b) for r in lines.unsettled_pairs(met, centres, group, 0.9, salt=8).collect()}
+    g = {c: own[c] if own[c] < 1000 else c for c in classes}
+    assert found == {(a, b) for a in classes for b in classes if a < b and g[a] != g[b] and not {a, b} & {3, 50}}
 
 
 # Near-duplicates
@@ -381,23 +488,86 @@ def test_shingles_of_a_batch_are_those_of_each_text():
         assert (s(pa.array([t]))[0] == x).all()
 
 
-def test_op9(spark, prose, odd_docs, no_docs):
-    """All pairs of plain similarity well above the threshold are in one class; those of no similar partner are alone."""
-    rows = {r.doc_id: r for r in neardup.near_duplicates(prose).collect()}
-    texts = {r.doc_id: r.text.split() for r in prose.collect()}
-    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in texts.items()}
-    for a in sets:
-        near = [b for b in sets if b != a and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.83]
-        assert all(rows[b].class_id == rows[a].class_id for b in near)
-        if not any(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.75 for b in sets if b != a):
-            assert rows[a].class_id == a and rows[a].kept
-    assert sum(r.kept for r in rows.values()) < len(rows) - 8
-    kept = neardup.distinct_documents(prose)
+def _weighted_sets(texts, s):
+    """Of each text: shingles and weights, by counting every document that holds a shingle."""
+    words = {d: t.split() for d, t in texts.items()}
+    grams = {d: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for d, w in words.items() if w}
+    df = collections.Counter(g for c in grams.values() for g in c)
+    n = len(texts)
+
+    def idf(g):
+        return 1.0 if df[g] < n // s.share + 1 else s.floor + (1 - s.floor) * min(1, max(0, np.log(n / df[g]) / np.log(s.share)))
+
+    return {d: {g: k * idf(g) for g, k in c.items()} for d, c in grams.items()}
+
+
+def _similarity(a, b):
+    both = sum(min(w, b[g]) for g, w in a.items() if g in b)
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def _classes(sets, similarity):
+    return _groups([(a, b) for a in sets for b in sets if a < b and _similarity(sets[a], sets[b]) >= similarity])
+
+
+@pytest.mark.parametrize("share", [256, 8])
+def test_op9(spark, prose, odd_docs, no_docs, share):
+    """Classes are those of all pairs of weighted similarity 0.8, compared by brute force."""
+    s = neardup.Settings(share=share)
+    rows = {r.doc_id: r for r in neardup.near_duplicates(prose, s).collect()}
+    sets = _weighted_sets({r.doc_id: r.text for r in prose.collect()}, s)
+    if share == 8:
+        assert len({w for c in sets.values() for w in c.values()}) > 2
+    group = _classes(sets, 0.8)
+    for d in sets:
+        own = [e for e in group if group[e] == group.get(d)] or [d]
+        assert rows[d].class_id == min(own) and rows[d].kept == (d == min(own))
+    kept = neardup.distinct_documents(prose, s)
     assert {r.doc_id for r in kept.collect()} == {d for d, r in rows.items() if r.kept} and kept.columns == prose.columns
     odd = neardup.near_duplicates(odd_docs).collect()
     assert len(odd) == odd_docs.count() and all(r.kept for r in odd if r.doc_id in (None, 3, 5, 7))
-    assert neardup.distinct_documents(odd_docs).columns == odd_docs.columns
-    assert neardup.near_duplicates(no_docs).count() == 0
+    assert sorted(r.kept for r in odd if r.doc_id == 1) == [False, True]
+    clash = odd_docs.withColumns({n: F.lit(5) for n in ("_doc", "_K1", "_k2", "k1", "k2", "best")})
+    left = neardup.distinct_documents(clash.drop("_k1"))
+    assert left.columns == clash.drop("_k1").columns and left.count() == odd_docs.count() - 1
+    assert neardup.near_duplicates(no_docs).count() == 0 and neardup.distinct_documents(no_docs).count() == 0
+
+
+def test_op9_weights_are_those_of_counted_documents(spark, prose):
+    s = neardup.Settings(share=8, cells=1 << 12)
+    w = neardup.weights_of(prose, s)
+    texts = {r.doc_id: r.text for r in prose.collect()}
+    wanted = _weighted_sets(texts, s)
+    shingler = Shingler(5)
+    for d, t in texts.items():
+        got = neardup.weighted(shingler, pa.array([t]), w)[0]
+        assert sorted(np.round(got[1].astype(float), 4)) == sorted(np.round(list(wanted[d].values()), 4).tolist())
+
+
+def test_op9_recall_against_brute_force(spark):
+    """Every pair of weighted similarity 0.8 of a table, compared by brute force, shares a class but for what banding may miss; no class is without such pairs."""
+    docs = spark.read.parquet(f"{DATA.rsplit('/', 1)[0]}/sf0.01/documents.parquet").where("text is not null")
+    s = neardup.Settings()
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs, s).collect()}
+    sets = _weighted_sets({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}, s)
+    holders = collections.defaultdict(list)
+    for d, c in sets.items():
+        for g in c:
+            holders[g].append(d)
+    met = {(a, b) for ds in holders.values() if len(ds) > 1 for a in ds for b in ds if a < b}
+    near = [p for p in met if _similarity(sets[p[0]], sets[p[1]]) >= 0.8]
+    group = _groups(near)
+    assert len(near) > 20 and sum(found[a] == found[b] for a, b in near) >= 0.98 * len(near)
+    assert all(group.get(d) == group.get(c) for d, c in found.items() if c != d)
+
+
+def test_op9_rows_of_one_doc_id_and_different_texts(spark):
+    rng = random.Random(2)
+    x, y = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(100)) for k in "xy")
+    docs = spark.createDataFrame([(1, x), (1, y), (2, x + " more"), (3, y + " more")], "doc_id long, text string")
+    rows = neardup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in rows) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    assert sorted(r.text for r in neardup.distinct_documents(docs).collect()) == sorted([x, y])
 
 
 @pytest.mark.parametrize("n", [3, 4, 16, 17, 20])
@@ -421,7 +591,7 @@ def test_op9_large_buckets_are_compared_completely(spark):
         texts += [" ".join(template + own), " ".join([*template, *own[:-1], "edited"])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     s = neardup.Settings(bands=1, rows=1)
-    weights = spark.sparkContext.broadcast((1 + s.smooth * neardup.idf(docs, s)).astype(np.float32))
+    weights = spark.sparkContext.broadcast(neardup.weights_of(docs, s))
     band = {r.doc_id: r.bands[0] for r in neardup.signed(neardup._lean(docs), weights, s).collect()}
     found = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs, s).collect()}
     assert max(collections.Counter(band.values()).values()) > 128
