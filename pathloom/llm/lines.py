@@ -11,8 +11,7 @@ follows from the length, in steps of two; forms close to a step take part in bot
 a tenth at most have a level in common. Classes meet in a join on each block on which enough features voted (three words, or
 four sequences).
 
-In a block's bucket all are compared with one central class (with eight in buckets of over sixteen), then any two that are not in
-one group by now: each two of a bucket are verified or in one group, however large it is. Candidates are verified by the edit
+In a block's bucket all are compared with one central class (with up to 32 in large buckets), then any two that are not in one group by now: each two of a bucket are verified or in one group, however large it is. Candidates are verified by the edit
 similarity of their normal forms, and connected groups of classes keep one occurrence: the first by doc_id, then by line.
 
 Defined results: a null text has no lines and stays null; lines without a letter or digit are kept as they are; lines of any
@@ -36,8 +35,10 @@ _OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 LONG, GRAM, ENOUGH, MANY = 5, 4, 5, 9
 #: Characters of a form for its first four blocks, with features of either kind.
 WORD_UNIT, GRAM_UNIT = 180, 14
-#: Votes that make a block count, of either kind; the size up to which a bucket has one centre, and the number of centres beyond.
-LEAST_WORDS, LEAST_GRAMS, SMALL, CENTRES = 3, 4, 16, 8
+#: Votes that make a block count, of either kind; members of a bucket for each centre, and the most centres.
+LEAST_WORDS, LEAST_GRAMS, FOR_CENTRE, CENTRES = 3, 4, 16, 32
+#: Letters whose counts bound the edit distance of two forms from below.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Forms are similar whose lengths differ by a tenth at most.
 SIMILARITY = 0.9
 
@@ -109,23 +110,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: c, k1, k2, pos. c and the normal form of that line."""
+    """wanted: c, k1, k2, pos. c, the normal form of that line and how often it has each letter."""
     by_doc = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "c")).alias("places"))  # a document's own lines
     k1, k2 = doc_keys()
     lines = docs.where("text is not null").select(k1.alias("k1"), k2.alias("k2"), F.col("text")).join(by_doc, ["k1", "k2"]).select(F.split("text", "\n").alias("lines"), "places")
     forms = lines.select("lines", F.explode("places").alias("p")).select(F.col("p.c").alias("c"), normal_form(F.element_at("lines", F.col("p.pos") + 1)).alias("norm"))
-    return forms.dropDuplicates(["c"])  # repeated rows
+    letters = F.array(*[(F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(x)))).cast("int") for x in LETTERS])
+    return forms.dropDuplicates(["c"]).withColumn("letters", letters)  # repeated rows
 
 
 def _check(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose edit distance is small enough for their length.
 
-    Words that both begin with and words that both end with don't count in the distance, so only what lies between is measured.
+    An edit takes away one letter at most and adds one at most, so letters that one has more of than the other bound the distance
+    from below. Words that both begin with and words that both end with don't count in the distance, so only what lies between is measured.
     If as many words lie there in both, changing each differing word as a whole bounds the distance, which settles most pairs.
     """
-    both = pairs.join(texts.select(F.col("c").alias("a"), F.col("norm").alias("na")), "a").join(texts.select(F.col("c").alias("b"), F.col("norm").alias("nb")), "b")
+    side = lambda x: texts.select(F.col("c").alias(x), F.col("norm").alias(f"n{x}"), F.col("letters").alias(f"l{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     most = F.greatest(F.length("na"), F.length("nb"))
     both = both.withColumn("allowed", F.floor(most * F.lit(1 - similarity) + 1e-9).cast("int")).where("abs(length(na) - length(nb)) <= allowed")
+    more = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda t, p: t + p)
+    both = both.where((more("la", "lb") <= F.col("allowed")) & (more("lb", "la") <= F.col("allowed")))
     split = both.select("a", "b", "allowed", F.split("na", " ").alias("wa"), F.split("nb", " ").alias("wb"))
     differ = lambda x, y: ~x.eqNullSafe(y)
     ahead = F.array_position(F.zip_with("wa", "wb", differ), True) - 1
@@ -135,9 +141,10 @@ def _check(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     middle = lambda w: F.slice(w, F.col("ahead") + 1, F.size(w) - F.col("ahead") - F.col("behind"))
     inner = same.select("a", "b", "allowed", middle("wa").alias("ma"), middle("wb").alias("mb"))
     swap = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y)))), F.lit(0), lambda t, x: t + x)
-    measured = F.expr("levenshtein(array_join(ma, ' '), array_join(mb, ' '), allowed) >= 0")
-    close = F.when((F.size("ma") == F.size("mb")) & (swap <= F.col("allowed")), True).otherwise(measured)
-    return inner.where(close).select("a", "b")
+    # The cost of measuring grows with the distance that is allowed; most near forms are much nearer than that.
+    joined = inner.withColumn("quick", (F.size("ma") == F.size("mb")) & (swap <= F.col("allowed"))).select("a", "b", "allowed", "quick", F.array_join("ma", " ").alias("xa"), F.array_join("mb", " ").alias("xb"))
+    measured = F.expr("levenshtein(xa, xb, cast(allowed / 3 as int)) >= 0 or levenshtein(xa, xb, allowed) >= 0")
+    return joined.where(F.col("quick") | measured).select("a", "b")
 
 
 def unsettled_pairs(met: DataFrame, centres: DataFrame, group: DataFrame, similarity: float, salt: int = 256) -> DataFrame:
@@ -166,7 +173,7 @@ def groups(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY)
     buckets = stored(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("c").alias("first"), F.max("c").alias("last")).where("first < last"), "line-buckets")
     met = stored(blocks.join(buckets.where("members > 2").select("key", "members"), "key"), "line-members")
     order = Window.partitionBy("key").orderBy(F.xxhash64("c"), "c")
-    centres = met.withColumn("at", F.row_number().over(order)).where((F.col("at") <= CENTRES) & ((F.col("at") == 1) | (F.col("members") > SMALL))).select("key", F.col("c").alias("centre"))
+    centres = met.withColumn("at", F.row_number().over(order)).where((F.col("at") <= CENTRES) & (F.col("at") <= F.greatest(F.lit(1), F.col("members") / FOR_CENTRE))).select("key", F.col("c").alias("centre"))
     centres = stored(centres, "line-centres")
     stars = met.join(centres, "key").where("c <> centre").select(F.least("centre", "c").alias("a"), F.greatest("centre", "c").alias("b"))
     pairs = stored(buckets.where("members = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).union(stars).distinct(), "line-pairs")
@@ -207,7 +214,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, n_lines: str =
     """
     if not docs.columns:
         raise ValueError("documents have columns")
-    n_lines, n_dropped, c1, c2, gone, nth, again = free_names(docs, n_lines, n_dropped, "_k1", "_k2", "_gone", "_nth", "_again")
+    n_lines, n_dropped, c1, c2, gone, nth, again, split = free_names(docs, n_lines, n_dropped, "_k1", "_k2", "_gone", "_nth", "_again", "_split")
     k1, k2 = doc_keys()
     marked = docs.withColumns({c1: k1, c2: k2})
     flags = repeats(docs, similarity).select(F.col("k1").alias(c1), F.col("k2").alias(c2), F.col("gone").alias(gone))
@@ -218,8 +225,8 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, n_lines: str =
     else:
         among = Window.partitionBy(c1, c2).orderBy(c1)
         marked = marked.join(twice, [c1, c2], "left_anti").withColumn(nth, F.lit(1)).unionByName(marked.join(twice, [c1, c2], "left_semi").withColumn(nth, F.row_number().over(among)))
-    joined = marked.join(flags, [c1, c2], "left")
-    lines = F.split("text", "\n")
+    joined = marked.join(flags, [c1, c2], "left").withColumn(split, F.split("text", "\n"))
+    lines = F.col(split)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.element_at(lines, i + 1))
     real = lambda xs: F.filter(xs, lambda x: normal_form(x) == "")
     text = F.when(F.col(nth) > 1, F.array_join(real(lines), "\n")).when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

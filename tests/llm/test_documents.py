@@ -313,7 +313,7 @@ def test_edit_check_is_exact(spark):
         texts[2 * i], texts[2 * i + 1] = " ".join(a), " ".join(b)
         if a != b and b:
             pairs.append((2 * i, 2 * i + 1))
-    forms = spark.createDataFrame(list(texts.items()), "c long, norm string")
+    forms = spark.createDataFrame([(c, t, [t.count(x) for x in lines.LETTERS]) for c, t in texts.items()], "c long, norm string, letters array<int>")
     found = {tuple(r) for r in lines._check(spark.createDataFrame(pairs, "a long, b long"), forms, 0.8).collect()}
     limit = lambda a, b: int(max(len(texts[a]), len(texts[b])) * (1 - 0.8) + 1e-9)
     assert found == {(a, b) for a, b in pairs if _edit(texts[a], texts[b]) <= limit(a, b)}
