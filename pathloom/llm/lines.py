@@ -11,7 +11,8 @@ follows from the length, in steps of two; forms close to a step take part in bot
 a tenth at most have a level in common. Classes meet in a join on each block on which enough features voted (three words, or
 four sequences).
 
-In a block's bucket all are compared with one central class (with up to 32 in large buckets), then any two that are not in one group by now: each two of a bucket are verified or in one group, however large it is. Candidates are verified by the edit
+In a block's bucket all are compared with one central class (with up to four in large buckets); in large ones then, twice, with some
+of those outside its largest group; then any two that are not in one group by now: each two of a bucket are verified or in one group, however large it is. Candidates are verified by the edit
 similarity of their normal forms, and connected groups of classes keep one occurrence: the first by doc_id, then by line.
 
 Defined results: a null text has no lines and stays null; lines without a letter or digit are kept as they are; lines of any
@@ -36,7 +37,9 @@ LONG, GRAM, ENOUGH, MANY = 5, 4, 5, 9
 #: Characters of a form for its first four blocks, with features of either kind.
 WORD_UNIT, GRAM_UNIT = 180, 14
 #: Votes that make a block count, of either kind; members of a bucket for each centre, and the most centres.
-LEAST_WORDS, LEAST_GRAMS, FOR_CENTRE, CENTRES = 3, 4, 16, 32
+LEAST_WORDS, LEAST_GRAMS, FOR_CENTRE, CENTRES = 3, 4, 16, 4
+#: Members of a large bucket, rounds for these before all that is left is compared, and centres of a round.
+LARGE, ROUNDS, MORE_CENTRES = 64, 2, 16
 #: Letters whose counts bound the edit distance of two forms from below.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Forms are similar whose lengths differ by a tenth at most.
@@ -147,23 +150,40 @@ def _check(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return joined.where(F.col("quick") | measured).select("a", "b")
 
 
-def unsettled_pairs(met: DataFrame, centres: DataFrame, group: DataFrame, similarity: float, salt: int = 256) -> DataFrame:
-    """met: key, c, n (length); centres: key, centre; group: c, g. The pairs (a, b) that share a key, are in different groups and of
-    like length, but for those with a centre.
+def open_buckets(met: DataFrame, group: DataFrame) -> DataFrame:
+    """met: key, c, n (length), members; group: c, g. The members of buckets that hold several groups: key, c, n, members, g, main (the largest group) and rest (members outside it)."""
+    members = met.join(group, "c", "left").select("key", "c", "n", "members", F.coalesce("g", "c").alias("g"))
+    sizes = members.groupBy("key", "g").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "g")).alias("m"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    return members.join(main.select("key", F.col("m.g").alias("main"), (F.col("all") - F.col("m.size")).alias("rest")), "key")
+
+
+def without(members: DataFrame, centres: DataFrame) -> DataFrame:
+    return members.join(centres.withColumnRenamed("centre", "c"), ["key", "c"], "left_anti")
+
+
+def _alike(similarity: float):
+    return F.abs(F.col("n") - F.col("o")) <= F.greatest("n", "o") * F.lit(1 - similarity) + F.lit(1e-9)
+
+
+def centre_pairs(members: DataFrame, fresh: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fresh centres (key, centre) and all others of the key's bucket in other groups, of like length, but for centres before."""
+    ahead = members.join(fresh.withColumnRenamed("centre", "c"), ["key", "c"]).select("key", F.col("c").alias("e"), F.col("n").alias("o"), F.col("g").alias("h"))
+    found = without(members, centres).join(ahead, "key").where((F.col("g") != F.col("h")) & _alike(similarity))
+    return found.select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct()
+
+
+def unsettled_pairs(members: DataFrame, centres: DataFrame, similarity: float, salt: int = 256) -> DataFrame:
+    """members: of open buckets; centres: key, centre. The pairs (a, b) that share a key, are in different groups and of like length, but for those with a centre.
 
     In each key's bucket, all meet those outside its largest group, whose members don't meet each other. The others are dealt
     over salts, for which the members are repeated.
     """
-    members = met.join(group, "c", "left").select("key", "c", "n", F.coalesce("g", "c").alias("g"))
-    sizes = members.groupBy("key", "g").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("size", "g")).alias("m"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    main = main.select("key", F.col("m.g").alias("main"), F.ceil((F.col("all") - F.col("m.size")) / salt).cast("long").alias("salts"))
-    members = stored(members.join(main, "key").join(centres.withColumnRenamed("centre", "c"), ["key", "c"], "left_anti"), "unsettled-lines")
+    members = stored(without(members, centres).withColumn("salts", F.ceil(F.col("rest") / salt).cast("long")), "unsettled-lines")
     others = members.where("g <> main").select("key", F.pmod(F.xxhash64("c"), "salts").alias("salt"), F.col("c").alias("e"), F.col("n").alias("o"), F.col("g").alias("h"))
     dealt = members.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     once = (F.col("g") == F.col("main")) | (F.col("c") < F.col("e"))
-    alike = F.abs(F.col("n") - F.col("o")) <= F.greatest("n", "o") * F.lit(1 - similarity) + F.lit(1e-9)
-    found = dealt.join(others, ["key", "salt"]).where((F.col("g") != F.col("h")) & once & alike)
+    found = dealt.join(others, ["key", "salt"]).where((F.col("g") != F.col("h")) & once & _alike(similarity))
     return found.select(F.least("c", "e").alias("a"), F.greatest("c", "e").alias("b")).distinct()
 
 
@@ -183,13 +203,25 @@ def groups(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY)
         texts = stored(_texts(docs, wanted.select("c", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"))), f"{name}-texts")
         return stored(_check(pairs, texts, similarity), name)
 
-    group = stored(components(checked(pairs, "line-links")), "line-groups")
-    rest = stored(unsettled_pairs(met, centres, group.select(F.col("node").alias("c"), F.col("component").alias("g")), similarity), "line-rest")
+    def grown(group: DataFrame | None, links: DataFrame) -> DataFrame:
+        edges = links if group is None else group.where("c <> g").select(F.col("c").alias("a"), F.col("g").alias("b")).union(links)
+        return stored(components(edges).select(F.col("node").alias("c"), F.col("component").alias("g")), "line-groups")
+
+    group = grown(None, checked(pairs, "line-links"))
+    for _ in range(ROUNDS):
+        large = stored(open_buckets(met.where(F.col("members") > LARGE), group), "open-buckets")
+        fresh = without(large.where("g <> main"), centres).withColumn("at", F.row_number().over(order)).where(F.col("at") <= MORE_CENTRES).select("key", F.col("c").alias("centre"))
+        fresh = stored(fresh, "line-centres")
+        if fresh.isEmpty():
+            break
+        group = grown(group, checked(stored(centre_pairs(large, fresh, centres, similarity), "line-pairs"), "line-links"))
+        centres = stored(centres.union(fresh), "line-centres")
+    rest = stored(unsettled_pairs(open_buckets(met, group), centres, similarity), "line-rest")
     if not rest.isEmpty():
         more = checked(rest, "more-line-links")
         if not more.isEmpty():
-            group = components(group.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    return group.select(F.col("node").alias("c"), F.col("component").alias("group"))
+            group = grown(group, more)
+    return group.select("c", F.col("g").alias("group"))
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -459,11 +459,11 @@ def test_op3_settles_each_two_of_a_bucket(spark):
     """Of a bucket of many classes, all pairs that are in different groups by then are compared."""
     rng = random.Random(7)
     classes, keys = list(range(200)), [9] * 200
-    met = spark.createDataFrame([(k, c, 100) for k, c in zip(keys, classes)], "key long, c long, n int")
+    met = spark.createDataFrame([(k, c, 100, 200) for k, c in zip(keys, classes)], "key long, c long, n int, members long")
     centres = spark.createDataFrame([(9, 3), (9, 50)], "key long, centre long")
     own = {c: rng.choice([0, 0, 0, 1, 2, c + 1000]) for c in classes}
     group = spark.createDataFrame([(c, g) for c, g in own.items() if g < 1000], "c long, g long")
-    found = {(r.a, r.b) for r in lines.unsettled_pairs(met, centres, group, 0.9, salt=8).collect()}
+    found = {(r.a, r.b) for r in lines.unsettled_pairs(lines.open_buckets(met, group), centres, 0.9, salt=8).collect()}
     g = {c: own[c] if own[c] < 1000 else c for c in classes}
     assert found == {(a, b) for a in classes for b in classes if a < b and g[a] != g[b] and not {a, b} & {3, 50}}
 
