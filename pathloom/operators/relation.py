@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bindings import excluded, none
@@ -72,10 +73,13 @@ class Graph:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where the driver and all executors see files; a temporary folder only where none is set, as in tests."""
+    """Where the driver and all executors see files. Where none is set, a session in one process gets a temporary folder, as in tests; on a
+    cluster that is an error."""
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not there:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         sc.setCheckpointDir(there)
     return there.rstrip("/")
@@ -86,3 +90,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/pathloom/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df with its rank (from 1) by order. Rows are dealt by range, so no task ranks them all."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task
+    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_own", own).join(parts, "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from .bindings import compatible, excluded, merged, none, within
 from .relation import KEYS, Graph, Relation, cut
 
-#: Above so many rows of a state, a complement that must multiply them out is refused.
-MOST_ROWS = 64
 LEAF = "array<struct<state:string,var:string,value:string,negative:boolean>>"
 
 
@@ -86,6 +84,7 @@ def conj_strict(a: Relation, b: Relation) -> Relation:
 def conj_aw(a: Relation, b: Relation) -> Relation:
     """Join that refuses rows of one state whose bindings conflict."""
     out = conj_join(a, b)
+    out = out.with_df(cut(out.df))
     states = a.df.select(*KEYS).intersect(b.df.select(*KEYS)).count()
     if states != out.df.select(*KEYS).distinct().count():
         raise ValueError("rows of the same state conflict")
@@ -106,7 +105,7 @@ def complement(states: DataFrame, a: Relation) -> Relation:
     """Constructive negation. States without a row stay unrestricted; a state with rows must differ from each of them in some variable.
 
     Without variables that is an anti join, with one sure variable a set of excluded values. Otherwise each state's
-    rows are multiplied out, in a bounded fold: more than MOST_ROWS rows are refused, never cut off.
+    distinct rows are multiplied out, and bindings that another one covers go after each row.
     """
     if a.ground:
         return not_exists(states, a)
@@ -117,13 +116,16 @@ def complement(states: DataFrame, a: Relation) -> Relation:
         return Relation(rows, (), (v,))
     loose = a.loosened(a.variables)
     names = loose.maybe
-    sizes = loose.df.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0
-    if sizes > MOST_ROWS:
-        raise ValueError(f"a complement over {sizes} rows of one state")
     schema = states.schema
     fields = ", ".join(f"`{v}` string, `{excluded(v)}` array<string>" for v in names)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields if f.name in KEYS)
 
+    def covers(general, special) -> bool:
+        """Does a binding hold for all that the other holds for?"""
+        if general[0] is not None:
+            return general[0] == special[0]
+        return special[0] not in general[1] if special[0] is not None else set(general[1]) <= set(special[1])
+
     def fold(pdf):
         import pandas as pd
 
@@ -142,7 +144,8 @@ def complement(states: DataFrame, a: Relation) -> Relation:
                     continue
                 own = (value if value is not None else has, tuple(sorted({*not_in, barred} - {None})))
                 new.append(env | {v: (own[0], () if own[0] is not None else own[1])})
-            done = [dict(x) for x in dict.fromkeys(tuple(sorted(e.items())) for e in new)]
+            found = [dict(x) for x in dict.fromkeys(tuple(sorted(e.items())) for e in new)]
+            done = [x for x in found if not any(y is not x and all(covers(y[v], x[v]) for v in names) for y in found)]
         keys = pdf.iloc[0][list(KEYS)]
         return pd.DataFrame([[*keys, *[x for v in names for x in (e[v][0], list(e[v][1]))]] for e in done], columns=[*KEYS, *[c for v in names for c in (v, excluded(v))]])
 

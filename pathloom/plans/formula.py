@@ -167,7 +167,7 @@ class Evaluator:
 
     def run(self, x: Formula) -> Relation:
         x = simplified(x)
-        graph = self.graph
+        graph, self.scans = self.graph, {}  # scans are those of the graphs that this formula's prefilter leaves
         alternatives = needed(x)
         if self.prefilter and alternatives and all(alternatives):
             keep = None

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.relation import ranked
+
 
 def initial(spark) -> DataFrame:
     return spark.createDataFrame([([],)], "matched array<string>")
@@ -28,8 +30,19 @@ def project(env: DataFrame, used_after: Sequence[str]) -> DataFrame:
 
 def deduplicated(env: DataFrame) -> DataFrame:
     """Equal environments become one, with all the rules that matched on the way to any of them."""
-    variables = [c for c in env.columns if c != "matched"]
-    return env.groupBy(*variables).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched"))
+    return united(env, [c for c in env.columns if c != "matched"], ["matched"])
+
+
+def united(rows: DataFrame, by: Sequence[str], arrays: Sequence[str]) -> DataFrame:
+    """One row for each value of `by`, with the sorted distinct elements of all its arrays. Elements meet as rows, each once, so a
+    common value doesn't gather the arrays of all its rows."""
+    parts = None
+    for a in arrays:
+        kinds = {c: rows.schema[c].dataType.elementType for c in arrays}
+        one = rows.select(*by, F.explode_outer(a).alias("_x")).distinct()
+        one = one.select(*by, *[(F.col("_x") if c == a else F.lit(None).cast(kinds[c])).alias(c) for c in arrays])
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.groupBy(*by).agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in arrays])
 
 
 def apply(env: DataFrame, matches: DataFrame, rule: str, used_after: Sequence[str]) -> DataFrame:
@@ -43,16 +56,18 @@ def apply(env: DataFrame, matches: DataFrame, rule: str, used_after: Sequence[st
 
 
 def _without_shared(env: DataFrame, found: DataFrame) -> DataFrame:
-    """A rule that inherits nothing: every environment meets every match. A constant key keeps that a hash join; both sides are
-    the rule's own results, and environments without variables are a single row."""
-    return env.withColumn("_one", F.lit(1)).join(found.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    """A rule that inherits nothing: every environment meets every match, as the rule asks for. Environments are dealt over salts and matches
+    repeated for each, so no task holds both sides; mostly there is one environment only."""
+    salts = int(env.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = env.withColumn("_salt", F.pmod(F.xxhash64(*env.columns), F.lit(salts)))
+    many = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(many, "_salt", "left").drop("_salt")
 
 
 def regrouped(env: DataFrame, positions: Sequence[str]) -> DataFrame:
     """Environments equal in all but positions see the union of these."""
     others = [c for c in env.columns if c not in positions and c != "matched"]
-    sums = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(p)))).alias(p) for p in positions]
-    return env.groupBy(*others).agg(*sums, F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched"))
+    return united(env, others, [*positions, "matched"])
 
 
 def consistent(env: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -110,8 +125,11 @@ def fresh_concat(env: DataFrame, name: str, *parts: Column) -> DataFrame:
 def fresh_counted(env: DataFrame, name: str, seed: str, by: Sequence[str]) -> DataFrame:
     """seed and a number that counts within each group: equal relevant bindings get equal names."""
     distinct = env.select(*by).distinct()
-    w = Window.partitionBy(by[0]).orderBy(*by[1:]) if len(by) > 1 else Window.partitionBy(F.lit(0)).orderBy(*by)
-    return env.join(distinct.withColumn(name, F.concat(F.lit(seed), F.row_number().over(w).cast("string"))), list(by))
+    if len(by) > 1:
+        numbered = distinct.withColumn("_n", F.row_number().over(Window.partitionBy(by[0]).orderBy(*by[1:])))
+    else:
+        numbered = ranked(distinct, by, "_n")
+    return env.join(numbered.select(*by, F.concat(F.lit(seed), F.col("_n").cast("string")).alias(name)), list(by))
 
 
 def numbered_leaves(leaves: DataFrame, tree: str, leaf: Sequence[str]) -> DataFrame:
@@ -131,7 +149,7 @@ def used_after(leaves: DataFrame, tree: str) -> DataFrame:
 
 
 def coalesced(rows: DataFrame, by: Sequence[str], positions: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(positions)))).alias(positions))
+    return united(rows.select(*by, positions), by, [positions])
 
 
 def stripped(value: Column) -> Column:
@@ -197,14 +215,20 @@ def merge(partials: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     return partials.groupBy(*by).agg(F.array_sort(F.collect_list(name)).alias(name))
 
 
-def iterate(start: Sequence[tuple], step: Callable[[tuple], tuple[DataFrame, Sequence[tuple]]], most: int = 1000) -> list[DataFrame]:
+def iterate(start: Sequence[tuple], step: Callable[[tuple], tuple[DataFrame, Sequence[tuple]]]) -> list[DataFrame]:
     """A queue of runs (files, virtual rules, virtual identifiers): a run gives its results and further runs. Runs on files go first."""
     queue, results = list(start), []
     while queue:
-        if len(results) >= most:
-            raise RuntimeError(f"more than {most} runs")
         k = next((i for i, r in enumerate(queue) if r[0]), 0)
         found, more = step(queue.pop(k))
         results.append(found)
         queue += list(more)
     return results
+
+
+def hooks(first: Callable[[], dict], runs: Sequence, step: Callable[[dict, object], dict], last: Callable[[dict], dict] | None = None) -> dict:
+    """What `first` makes before any run goes through all runs, one after the other, and through `last` after them."""
+    state = first()
+    for run in runs:
+        state = step(state, run)
+    return last(state) if last else state

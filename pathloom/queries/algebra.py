@@ -277,9 +277,12 @@ def hack_for_stmt(spark, d):
     return out(T.any_of_several(a, b, lambda r: P.reach_pairs(g, Relation(r.df.select("graph_id", "state").distinct()))))
 
 
-@query(EVENTS + " SELECT g AS graph_id, s AS state FROM ev WHERE label = 'error'")
+@query(EVENTS + " SELECT g AS graph_id, s AS state, k AS x FROM ev WHERE label = 'error' AND value > 50 AND k IS NOT NULL")
 def inner_and(spark, d):
-    return out(typed(G.events(spark, d), "error"))
+    """A conjunction inside another: states of one row stay as they are."""
+    g = G.events(spark, d)
+    inner = T.conj_join(typed(g, "error", x="k"), T.label_scan(g, F.col("value") > 50))
+    return out(T.conj_join(inner, T.top(g)))
 
 
 @query(EVENTS + " SELECT a.g AS graph_id, a.s AS state FROM ev a JOIN ev b ON a.g = b.g AND a.nxt = b.s WHERE a.label = 'view' AND b.label = 'view'")
@@ -389,11 +392,9 @@ def ax(spark, d):
 
 @query(TREE + " SELECT te.g AS graph_id, src AS state, min(flag) AS f FROM te JOIN tn ON te.dst = tn.s GROUP BY te.g, src HAVING count(*) = count(flag) AND count(DISTINCT flag) = 1")
 def ax_bindings(spark, d):
-    """Nodes all of whose successors are lines of one flag; that flag is bound. Only orders and lines can be such."""
+    """Nodes all of whose successors are lines of one flag; that flag is bound."""
     g = G.hierarchy(spark, d)
-    low = g.nodes.where("label in ('order', 'line')").select("graph_id", F.col("node_id").alias("src"))
-    small = Graph(g.nodes, g.edges.join(low, ["graph_id", "src"], "left_semi"))
-    return out(P.ax(small, typed(g, "line", f="flag")))
+    return out(P.ax(g, typed(g, "line", f="flag")))
 
 
 #: For a goal on the hierarchy's lines: what holds at a node by its children, from the leaves up.
@@ -474,11 +475,11 @@ def aw(spark, d):
     return out(P.aw(g, T.not_exists(g.states(), typed(g, "error")), typed(g, "purchase")))
 
 
-@query(MACHINE + """, bad AS (SELECT g, s FROM mn WHERE s = 'signup' UNION SELECT me.g, me.src FROM bad JOIN me ON me.g = bad.g AND me.dst = bad.s)
-SELECT g AS graph_id, s AS state FROM mn WHERE (g, s) NOT IN (SELECT g, s FROM bad)""")
+@query(_up(_R, "true", "bool_or").replace(") WHERE h", ") WHERE NOT h"))
 def ag(spark, d):
-    g = G.machines(spark, d)
-    return out(P.ag(g, T.not_exists(g.states(), typed(g, "signup"))))
+    """Nodes below which, themselves among them, no line was returned."""
+    g = G.hierarchy(spark, d)
+    return out(P.ag(g, T.not_exists(g.states(), flagged(g, "R"))))
 
 
 @query(MACHINE + """, pairs AS (SELECT g, src AS a, dst AS b FROM me WHERE src IN ('error', 'view') AND dst IN ('error', 'view') UNION SELECT p.g, p.a, me.dst FROM pairs p JOIN me ON me.g = p.g AND me.src = p.b WHERE me.dst IN ('error', 'view'))
@@ -517,7 +518,7 @@ def strict_a2(spark, d):
     return P.strict(P.aw(g, a, b), P.eu(g, a, b)).df
 
 
-@query(_up(_R, "label = 'order'", "bool_and").replace("SELECT g AS graph_id, s AS state FROM (", "SELECT t.g AS graph_id, t.s AS state, h AS \"full\" FROM (SELECT g, s, h FROM (").replace(") WHERE h", ")) t WHERE h OR t.s IN (SELECT parent FROM tn WHERE flag = 'R')"), "strict_a2au")
+@query(_up(_R, "label = 'order'", "bool_and").replace("SELECT g AS graph_id, s AS state FROM (", "SELECT t.g AS graph_id, t.s AS state, h AS \"full\" FROM (SELECT g, s, h FROM (").replace(") WHERE h", ")) t LEFT JOIN (SELECT DISTINCT parent AS above FROM tn WHERE flag = 'R') p ON t.s = p.above WHERE h OR above IS NOT NULL"), "strict_a2au")
 def strict_a2au(spark, d):
     g = G.hierarchy(spark, d)
     a, b = typed(g, "order"), flagged(g, "R")
@@ -541,3 +542,11 @@ def check_reach(spark, d):
     modified = T.label_scan(g, (F.col("label") == "order") & (F.col("status") == "F"))
     roots = T.label_scan(g, (F.col("label") == "customer") & (F.substring("node_id", 2, 20).cast("long") % 2 == 0))
     return out(P.unreached(up, modified, roots))
+
+
+@query(MACHINE + """, r AS (SELECT me.g, me.src, me.dst FROM me WHERE me.src <> 'view' AND me.dst <> 'view'), w AS (SELECT g, src AS a, dst AS b FROM r UNION SELECT w.g, w.a, r.dst FROM w JOIN r ON w.g = r.g AND w.b = r.src)
+SELECT DISTINCT g AS graph_id, a AS state FROM w WHERE a = 'error' AND b = 'error'""")
+def check_revisit(spark, d):
+    """Errors that a path without a view comes back to."""
+    g = G.machines(spark, d)
+    return out(P.revisited(g, typed(g, "error"), typed(g, "view")))

@@ -35,6 +35,8 @@ pattern("q_when_eq", "error ... when == [value > 20] purchase", gap("L = 'error'
 pattern("q_when_any", "error ... when any purchase", gap("L = 'error'", "L = 'purchase'", "false"))
 pattern("q_when_strict", "view ... when strict purchase", gap("L = 'view'", "L = 'purchase'", "L IN ('view', 'purchase')"), stop=Pred("label = 'error'"))
 pattern("q_when_exists", "error ... when exists purchase", gap("L = 'error'", "L = 'purchase'", "L IN ('error', 'purchase')"))
+pattern("q_when_forall", "[label = 'customer'] ... when forall [flag = 'R']", TREE + """, low AS (SELECT src, bool_and(coalesce(flag = 'R', false)) AS h FROM te JOIN tn ON te.dst = tn.s WHERE src LIKE 'O%' GROUP BY src)
+  SELECT DISTINCT o.g AS graph_id, o.parent AS state FROM tn o JOIN low ON o.s = low.src WHERE h""", graph=G.hierarchy, exists=True)
 pattern("q_stop_early", "view ... purchase", gap("L = 'view'", "L IN ('purchase', 'error')", "L IN ('view', 'purchase', 'error')"), stop=Pred("label = 'error'"))
 pattern("q_nest0", "signup <... view ...> when != click purchase", gap("L = 'signup'", "L = 'purchase'", "L NOT IN ('error', 'view')").replace("c.label NOT IN ('error', 'view')", "c.label IN ('click', 'purchase', 'signup')"))
 pattern("q_nest1", "signup <+... view ...+> when != click purchase", EVENTS + """ SELECT g AS graph_id, s AS state FROM ev a WHERE label = 'signup' AND EXISTS (

@@ -85,7 +85,8 @@ def r_pos_consistent(spark, d):
 
 @query(EVENTS + " SELECT DISTINCT g AS \"user\", CAST(pos // 10 AS BIGINT) AS element FROM ev WHERE label = 'error'")
 def r_valid_pos(spark, d):
-    elements = spark.range(0, 100).select(F.col("id").alias("element"), (F.col("id") * 10).alias("lo"), (F.col("id") * 10 + 9).alias("hi"))
+    places = G.events(spark, d).nodes.select(F.floor(F.col("pos") / 10).cast("long").alias("element")).distinct()
+    elements = places.select("element", (F.col("element") * 10).alias("lo"), (F.col("element") * 10 + 9).alias("hi"))
     return R.possible(_positions(spark, d).select("user", "p"), elements, "p").select("user", "element")
 
 
@@ -244,8 +245,7 @@ def iterate(spark, d):
 @query("SELECT event_id FROM events WHERE event_type = 'click' AND value > 50")
 def virtual_id(spark, d):
     """Virtual identifiers are parameters of the query."""
-    G.table(spark, d, "events").createOrReplaceTempView("pathloom_events")
-    return spark.sql("SELECT event_id FROM pathloom_events WHERE event_type = :kind AND value > :least", args={"kind": "click", "least": 50})
+    return spark.sql("SELECT event_id FROM {events} WHERE event_type = :kind AND value > :least", args={"kind": "click", "least": 50}, events=G.table(spark, d, "events"))
 
 
 @query("SELECT event_id, 'f' || user_id AS file, event_id * 10 AS lo, event_id * 10 + 5 AS hi FROM events")
@@ -256,7 +256,7 @@ def make_values(spark, d):
 
 
 # Sources
-@query()
+@query("SELECT table_name || '.parquet' AS name FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')")
 def scan_files(spark, d):
     rows = scans.files(spark, d, "*.parquet")
     return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
@@ -400,10 +400,51 @@ def sink_file(spark, d):
     return sinks.written(_trace_texts(spark, d)[0], f"{shared_folder(spark)}/pathloom/out-{uuid.uuid4().hex}")
 
 
-@query("SELECT text AS file FROM (SELECT 'f' || user_id AS text, user_id FROM events GROUP BY user_id HAVING bool_and(value < 99.5))")
+@query("SELECT 'f' || event_id // 3 AS file FROM events GROUP BY event_id // 3 HAVING bool_and(value < 99.5)")
 def dup_check(spark, d):
-    """Each event gives its file a result; high values give another one, so the file is dropped."""
-    e = G.table(spark, d, "events").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.when(F.col("value") < 99.5, "same").otherwise(F.col("event_id").cast("string")).alias("text"))
+    """Three events give their file a result each; high values give another one, so the file is dropped."""
+    e = G.table(spark, d, "events").select(F.concat(F.lit("f"), F.floor(F.col("event_id") / 3).cast("string")).alias("file"), F.when(F.col("value") < 99.5, "same").otherwise(F.col("event_id").cast("string")).alias("text"))
     more = e.select("file", F.lit("same").alias("text"))
     good, _ = sinks.agreed(e.union(more))
     return good.select("file")
+
+
+@query("SELECT 'runs' AS name, CAST(3 AS BIGINT) AS value UNION ALL SELECT 'events', count(*) FILTER (event_type IN ('error', 'view', 'signup')) FROM events")
+def hook_final(spark, d):
+    """A value that is made once before all runs is handed to each of them, and what they give is added up once after all."""
+    e = G.table(spark, d, "events")
+    made = R.hooks(lambda: {"runs": 0, "found": []}, ["error", "view", "signup"], lambda state, label: state | {"runs": state["runs"] + 1, "found": [*state["found"], e.where(F.col("event_type") == label)]})
+    total = made["found"][0].union(made["found"][1]).union(made["found"][2]).agg(F.count(F.lit(1)).alias("value"))
+    return spark.createDataFrame([("runs", made["runs"])], "name string, value long").union(total.select(F.lit("events"), "value"))
+
+
+@query("SELECT event_id, 'high' AS rule FROM events WHERE event_type = 'error' AND value > 50 UNION ALL SELECT event_id, 'any' FROM events WHERE event_type = 'error'")
+def virtual_rule(spark, d):
+    """Rules that depend on virtual ones run if these were asked for: `strict` and `report` are, `quiet` isn't."""
+    e = G.table(spark, d, "events").where("event_type = 'error'")
+    asked = ("strict", "report")
+    rules = [("high", R.Dep("ever", "strict"), e.where("value > 50")), ("any", R.Dep("and", parts=(R.Dep("ever", "report"), R.Dep("never", "quiet"))), e), ("none", R.Dep("ever", "quiet"), e)]
+    runs = [found.where(dep.column(F.array(), asked)).select("event_id", F.lit(name).alias("rule")) for name, dep, found in rules]
+    return runs[0].union(runs[1]).union(runs[2])
+
+
+@query("SELECT table_name || '.parquet' AS file, 1 AS version FROM information_schema.tables WHERE table_name IN ('nation', 'region')")
+def ctx(spark, d):
+    """What a script may ask about its run: the file that a row comes from."""
+    rows = [G.table(spark, d, t).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file")) for t in ("nation", "region")]
+    return rows[0].union(rows[1]).distinct().select("file", F.lit(1).alias("version"))
+
+
+@query("SELECT o_orderkey AS path, 'obj' || o_custkey AS build FROM orders WHERE o_orderstatus <> 'P'")
+def scan_kbuild(spark, d):
+    """Files that are built into one object are a group; files of no object are groups of their own, left out here."""
+    o = G.table(spark, d, "orders")
+    built = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("path"), F.concat(F.lit("obj"), F.col("o_custkey").cast("string")).alias("build"))
+    return scans.built(o.select(F.col("o_orderkey").alias("path")), built).where("build is not null").select("path", "build")
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, 'the')) AS BIGINT) AS n FROM documents WHERE contains(text, 'the')")
+def scan_stdin(spark, d):
+    """Texts that aren't files are given as rows."""
+    found = G.table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit("the")).cast("long").alias("n"))
+    return found.where("n > 0")

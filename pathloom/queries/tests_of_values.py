@@ -61,7 +61,7 @@ _constraint("c_expr", lambda: C.matches(F.col("p"), "^[0-9]-[A-Z]+$"), "regexp_m
 _constraint("c_sub", lambda: C.subterm_of(F.substring("p", 3, 3), F.array(F.lit("URG"), F.lit("LOW"))), "substr(p, 3, 3) IN ('URG', 'LOW')")
 _constraint("c_type", lambda: C.type_is(F.concat(F.lit("struct  "), F.lower("s"), F.lit(" * ")), "struct f*"), "s = 'F'")
 _constraint("c_pos", lambda: C.position_is(F.struct((F.col("o_orderkey") % 10).alias("lo"), F.lit(9).alias("hi")), F.struct(F.lit(4).alias("lo"), (F.col("o_orderkey") % 7 + 4).alias("hi"))), "(k % 10 <= 4 AND 9 >= k % 7 + 4) OR (4 <= k % 10 AND k % 7 + 4 >= 9)")
-_constraint("c_form", lambda: C.form_is(F.col("c"), "constant") & C.form_is(F.col("s"), "identifier"), "true")
+_constraint("c_form", lambda: C.form_is(F.when(F.col("o_orderkey") % 2 == 0, F.col("c")).otherwise(F.col("s")), "constant"), "k % 2 = 0")
 
 
 # Atomic predicates: kinds of nodes
@@ -191,7 +191,7 @@ def fact_satisfy(spark, d):
 
 @query(_FACTS + f""" SELECT file, "begin", coalesce(len(ints) = 1 AND ints[1] = 2, false) OR coalesce(lo = 2 AND hi = 2, false) AS single, {_HOLDS} AS contains,
   coalesce(list_contains(ints, 0), false) OR (kind = 'bounds' AND coalesce(0 >= lo, true) AND coalesce(0 <= hi, true)) AS also_nul,
-  coalesce(len(ints) = 1 AND ints[1] = 0, false) OR coalesce(lo = 0 AND hi = 0, false) AS only_nul FROM f""")
+  coalesce(len(ints) = 1 AND ints[1] = 0, false) OR coalesce(lo = 0 AND hi = 0, false) AS only_nul, {_HOLDS} AND NOT (coalesce(len(ints) = 1 AND ints[1] = 2, false) OR coalesce(lo = 2 AND hi = 2, false)) AS also_int FROM f""")
 def fact_single_int(spark, d):
     f, _ = _facts(spark, d)
-    return f.select("file", "begin", A.single_int(2).alias("single"), A.contains_int(2).alias("contains"), A.also_nul().alias("also_nul"), A.only_nul().alias("only_nul"))
+    return f.select("file", "begin", A.single_int(2).alias("single"), A.contains_int(2).alias("contains"), A.also_nul().alias("also_nul"), A.only_nul().alias("only_nul"), A.also_int(2).alias("also_int"))

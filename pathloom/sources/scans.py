@@ -33,6 +33,11 @@ def groups(lists: DataFrame) -> DataFrame:
     return one.select("id", "grp", "path", bound(1).alias("lo"), F.coalesce(bound(2), bound(1)).alias("hi"), (~F.col("r").startswith("-")).alias("included"))
 
 
+def built(paths: DataFrame, objects: DataFrame) -> DataFrame:
+    """paths: path; objects: path, build (which object a file is built into). Each file with its group; null where it is its own."""
+    return paths.join(objects, "path", "left")
+
+
 def ignored(members: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """members: grp, path. Groups go only if all their files match one of the patterns."""
     hit = F.lit(False)

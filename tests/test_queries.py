@@ -16,7 +16,7 @@ def test_equals_sql(spark, duck, name):
 
 def test_queries_without_sql(spark):
     rest = sorted(set(QUERIES) - set(SQL))
-    assert rest == ["cfg_loop_mark", "scan_files"]
+    assert rest == ["cfg_loop_mark"]
     for name in rest:
         assert QUERIES[name](spark, DATA).count() > 0
 
