@@ -61,7 +61,7 @@ _constraint("c_expr", lambda: C.matches(F.col("p"), "^[0-9]-[A-Z]+$"), "regexp_m
 _constraint("c_sub", lambda: C.subterm_of(F.substring("p", 3, 3), F.array(F.lit("URG"), F.lit("LOW"))), "substr(p, 3, 3) IN ('URG', 'LOW')")
 _constraint("c_type", lambda: C.type_is(F.concat(F.lit("struct  "), F.lower("s"), F.lit(" * ")), "struct f*"), "s = 'F'")
 _constraint("c_pos", lambda: C.position_is(F.struct((F.col("o_orderkey") % 10).alias("lo"), F.lit(9).alias("hi")), F.struct(F.lit(4).alias("lo"), (F.col("o_orderkey") % 7 + 4).alias("hi"))), "(k % 10 <= 4 AND 9 >= k % 7 + 4) OR (4 <= k % 10 AND k % 7 + 4 >= 9)")
-_constraint("c_form", lambda: C.form_is(F.when(F.col("o_orderkey") % 2 == 0, F.col("c")).otherwise(F.col("s")), "constant"), "k % 2 = 0")
+_constraint("c_form", lambda: C.form_is(F.when(F.col("o_orderkey") % 2 == 0, F.col("c")).otherwise(F.lower("s")), "constant"), "k % 2 = 0")
 
 
 # Atomic predicates: kinds of nodes
