@@ -86,8 +86,8 @@ def eu(graph: Graph, a: Relation | None, b: Relation, direction: str = "forward"
         step = ex(graph, delta, direction, direct)
         step = conj_join(step, a) if a is not None else step
         if set(step.variables) != set(seen.variables) or step.maybe != seen.maybe:
-            both = union_plain(seen, step)
-            seen, step = both, step.loosened(both.maybe)
+            loose = tuple(v for v in dict.fromkeys([*seen.variables, *step.variables]) if v not in seen.bound or v not in step.bound)
+            seen, step = seen.loosened(loose), step.loosened(loose)
         fresh = difference(step, seen)
         delta = fresh.with_df(cut(fresh.df))
         if delta.df.isEmpty():

@@ -11,6 +11,10 @@ from ..sources.csource import Parser, SyntaxProblem, Term, lex
 from .relation import Relation
 
 
+#: Terms whose parts are lists: all parts must be there.
+LISTS = ("call", "header", "declarator")
+
+
 def pattern(text: str) -> Term:
     p = Parser(lex(text))
     e = p.expression()
@@ -19,30 +23,49 @@ def pattern(text: str) -> Term:
     return e
 
 
-def match(terms: DataFrame, what: Term, variables: Sequence[str]) -> DataFrame:
+def head(name: str, *params: str) -> Term:
+    """A function's head; "..." stands for any parameters."""
+    return Term("header", name, [Term("ident", name), *[Term("dots", p) if p == "..." else Term("param", p) for p in params]])
+
+
+def match(terms: DataFrame, what: Term, variables: Sequence[str], kinds: dict[str, Sequence[str]] | None = None, root: bool = False) -> DataFrame:
     """graph_id, node_id, term_id and the variables' texts for each term that fits. Parts are joined to their parents by place; a
-    variable that occurs twice must have the same text."""
+    variable that occurs twice must have the same text. kinds: of the terms that a variable may stand for. root: only a node's whole
+    term. Dots among arguments stand for any number of these, elsewhere for any term."""
     keys = ["graph_id", "node_id"]
+    kinds = kinds or {}
 
     def rows(t: Term) -> DataFrame:
-        if t.kind == "ident" and t.text in variables:
-            return terms.select(*keys, "term_id", "parent_id", "ord", F.col("text").alias(t.text))
+        if t.kind in ("ident", "type", "param") and t.text in variables:
+            own = kinds.get(t.text, () if t.kind == "ident" else (t.kind,))
+            return (terms.where(F.col("kind").isin(*own)) if own else terms).select(*keys, "term_id", "parent_id", "ord", F.col("text").alias(t.text))
         fit = F.col("kind") == t.kind
         if t.op:
             fit = fit & (F.col("op") == t.op)
         if not t.parts:
             fit = fit & (F.col("text") == t.text)
         found = terms.where(fit).select(*keys, "term_id", "parent_id", "ord")
-        if t.kind == "call":
+        dots = [k for k, p in enumerate(t.parts) if p.kind == "dots"] if t.kind in LISTS else []
+        if len(dots) > 2 or len(dots) == 2 and dots[1] - dots[0] > 2:
+            raise SyntaxProblem("one argument may stand between dots")
+        if t.kind in LISTS:
             sizes = terms.where("parent_id is not null").groupBy(*keys, F.col("parent_id").alias("term_id")).agg(F.count(F.lit(1)).alias("_n"))
-            found = found.join(sizes, [*keys, "term_id"]).where(F.col("_n") == len(t.parts)).drop("_n")
+            found = found.join(sizes, [*keys, "term_id"]).where(F.col("_n") >= len(t.parts) - len(dots) if dots else F.col("_n") == len(t.parts))
         for k, part in enumerate(t.parts):
-            below = rows(part).where(F.col("ord") == k).drop("term_id", "ord").withColumnRenamed("parent_id", "term_id")
+            if part.kind == "dots":
+                continue
+            place = F.col("_at") == k
+            if dots and k > dots[-1]:
+                place = F.col("_at") == F.col("_n") - (len(t.parts) - k)
+            elif dots and k > dots[0]:
+                place = (F.col("_at") >= dots[0]) & (F.col("_at") < F.col("_n") - (len(t.parts) - 1 - dots[-1]))
+            below = rows(part).drop("term_id").withColumnsRenamed({"parent_id": "term_id", "ord": "_at"})
             shared = [v for v in variables if v in found.columns and v in below.columns]
-            found = found.join(below, [*keys, "term_id", *shared])
-        return found
+            found = found.join(below, [*keys, "term_id", *shared]).where(place).drop("_at")
+        return found.drop("_n")
 
-    return rows(what).drop("parent_id", "ord")
+    found = rows(what)
+    return (found.where("parent_id is null") if root else found).drop("parent_id", "ord")
 
 
 def any_of(*found: DataFrame) -> DataFrame:
@@ -72,6 +95,17 @@ def below(terms: DataFrame, found: DataFrame) -> DataFrame:
         out = out.union(level)
 
 
+def holding(terms: DataFrame, found: DataFrame, part: int, what: Term, variables: Sequence[str] = ()) -> DataFrame:
+    """found: graph_id, node_id, term_id and more. Those terms whose part of that place has what somewhere in it, with its variables."""
+    keys = ["graph_id", "node_id", "term_id"]
+    parts = terms.where(F.col("ord") == part).select("graph_id", "node_id", F.col("parent_id").alias("term_id"), F.col("term_id").alias("root"))
+    roots = found.select(*keys).distinct().join(parts, keys)
+    inner = match(terms, what, variables)
+    within = below(terms, roots.select("graph_id", "node_id", F.col("root").alias("term_id"))).join(inner, keys).drop("term_id").distinct()
+    shared = [v for v in variables if v in found.columns]
+    return found.join(roots.join(within, ["graph_id", "node_id", "root"]).drop("root").distinct(), [*keys, *shared])
+
+
 def chain(terms: DataFrame, found: DataFrame, op: str) -> DataFrame:
     """The operands of a chain of one associative operator, at any depth."""
     inner = below(terms.where((F.col("kind") == "binary") & (F.col("op") == op)), found)

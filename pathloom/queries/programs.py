@@ -12,7 +12,9 @@ from ..operators import paths as P
 from ..operators import terms as M
 from ..operators import triples as T
 from ..operators.relation import cut
-from ..plans.formula import And, Evaluator, Next, Not, Or, Pred, Until
+from ..plans import rules as R
+from ..plans.formula import And, Evaluator, Next, Not, Pred, Until
+from ..plans.patches import Matches, matches
 from ..plans.rewrites import expanded
 from ..sources import csource
 from ..sources import graphs as G
@@ -162,7 +164,7 @@ def m_bind(spark, d):
     return _keyed(M.match(_program(spark, d).terms, M.pattern("V = V + 1"), ["V"]), F.col("V").alias("v"))
 
 
-@query(" SELECT k, CAST(CASE WHEN k % 50 = 0 THEN 7 ELSE 6 END AS INTEGER) AS line FROM o")
+@query(" SELECT k, CAST(CASE WHEN k % 50 = 0 THEN 6 ELSE 5 END AS INTEGER) AS line FROM o")
 def m_pos(spark, d):
     p = _program(spark, d)
     found = M.match(p.terms, M.pattern("p = alloc(X)"), ["X"]).join(p.graph.nodes.select("graph_id", "node_id", "line"), ["graph_id", "node_id"])
@@ -194,20 +196,8 @@ def call(name: str) -> Pred:
     return Pred(f"text like '%{name}(%' and kind = 'expr'")
 
 
-def _within(what, ends: str):
-    return Until(Not(kind(ends)), what)
-
-
-_formula("q_if", lambda: And(kind("if"), And(Next(And(kind("true"), Next(kind("return")))), And(Next(kind("fall")), Next(kind("after"))))), " SELECT k FROM o WHERE m = 1")
-_formula("q_ifelse", lambda: And(kind("if"), And(Next(And(kind("true"), Next(_within(call("free"), "after")))), And(Next(And(kind("false"), Next(_within(call("use"), "after")))), Next(kind("after"))))), " SELECT k FROM o WHERE m = 0")
-_formula("q_loop", lambda: And(kind("while", "for"), And(Next(And(kind("inloop"), Next(_within(call("use"), "loopfall")))), Next(And(kind("loopfall"), Next(And(kind("after"), Next(call("free")))))))), " SELECT k FROM o WHERE m IN (2, 5)")
-_formula("q_dowhile", lambda: And(kind("do"), And(Next(And(kind("inloop"), Next(_within(And(call("use"), Next(Until(Not(call("use")), kind("dowhile")))), "after")))), Next(kind("after")))), " SELECT k FROM o WHERE m = 3")
-_formula("q_switch", lambda: And(kind("switch"), Next(And(kind("open"), And(Next(And(Pred("text = 'case 1:'"), Next(call("free")))), Next(kind("default")))))), " SELECT k FROM o WHERE m = 4")
-_formula("q_return", lambda: And(kind("return"), Pred("text = 'return 0;'")), " SELECT k FROM o WHERE m = 1")
-_formula("q_fun", lambda: And(kind("header"), Next(And(kind("open"), Next(Until(Not(kind("exit")), And(call("alloc"), Next(Until(Not(kind("exit")), call("free"), every=True), every=True))))))), " SELECT k FROM o WHERE m IN (2, 5)")
 _formula("q_when_true", lambda: And(call("alloc"), Next(Until(Not(call("free")), And(kind("true"), Next(Until(Not(kind("after")), call("free"))))))), " SELECT k FROM o WHERE m = 0")
 _formula("q_top", lambda: And(kind("top"), Next(And(kind("header"), Next(kind("open"))))), " SELECT k FROM o")
-_formula("q_metastmt", lambda: And(kind("true"), Next(Or(kind("return"), kind("open")))), " SELECT k FROM o WHERE m IN (0, 1, 6)")
 
 
 @query(" SELECT k, CAST(CASE m WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS braces FROM o")
@@ -260,3 +250,107 @@ def cfg_all_paths_free(spark, d):
     on_some = T.conj_join(alloc, P.ef(g, free))
     never = T.conj_join(alloc, P.ex(g, P.eu(g, T.not_exists(g.states(), free), T.label_scan(g, F.col("kind") == "exit"))))
     return _keyed(T.difference(on_some, never).df)
+
+
+# Statements as patterns
+def _patch(name: str, text: str, sql: str, **how) -> None:
+    def run(spark, d):
+        return _keyed(matches(_program(spark, d), text, **how).bindings()).distinct()
+
+    query(sql, name)(run)
+
+
+_patch("q_if", "@@ expression E; @@\nif (E) return 0;", " SELECT k FROM o WHERE m = 1")
+_patch("q_ifelse", "@@ expression E, F; @@\nif (E) { ... free(F); ... } else { ... use(F, ...); ... }", " SELECT k FROM o WHERE m = 0")
+_patch("q_loop", "@@ expression F; @@\nwhile (...) { ... use(F, ...); ... }\nfree(F);", " SELECT k FROM o WHERE m IN (2, 5)", exists=True)
+_patch("q_dowhile", "@@ expression E, F; @@\ndo { use(E, F); } while (F < 3);", " SELECT k FROM o WHERE m = 3")
+_patch("q_switch", "@@ expression E, F; statement S; @@\nswitch (E) { case 1: free(F); break; default: S }", " SELECT k FROM o WHERE m = 4")
+_patch("q_return", "@@ @@\nreturn 0;", " SELECT k FROM o WHERE m = 1")
+_patch("q_fun", "@@ identifier f; expression E, X; @@\nint f(..., struct s *p) {\n...\nE = alloc(X);\n...\nfree(E);\n...\n}", " SELECT k FROM o WHERE m IN (2, 5)")
+_patch("q_metastmt", "@@ expression E; statement S; @@\nif (E) S", " SELECT k FROM o WHERE m IN (1, 5, 6)")
+
+
+@query(" SELECT k, CAST(CASE WHEN m IN (1, 2) THEN 'x + 1' ELSE '1 + a + x' END AS VARCHAR) AS value FROM o WHERE m IN (1, 2, 6)")
+def m_nestexp(spark, d):
+    """Assignments of a value that has x somewhere in it."""
+    t = _program(spark, d).terms
+    return _keyed(M.holding(t, M.match(t, M.pattern("V = S"), ["V", "S"]), 1, M.pattern("x")), F.col("S").alias("value"))
+
+
+@query(" SELECT k, unnest(CASE m WHEN 0 THEN ['header', 'decl', 'expr', 'return', 'if', 'free'] WHEN 1 THEN ['header', 'decl', 'expr', 'return', 'if', 'free'] WHEN 2 THEN ['header', 'decl', 'expr', 'return', 'while', 'free'] WHEN 3 THEN ['header', 'decl', 'expr', 'return'] WHEN 4 THEN ['header', 'decl', 'expr', 'return', 'break', 'case', 'free'] WHEN 5 THEN ['header', 'decl', 'expr', 'return', 'if', 'break', 'while', 'free'] ELSE ['header', 'decl', 'expr', 'return', 'if', 'free'] END) AS element FROM o")
+def m_node(spark, d):
+    """Which elements of rules fit some node of a function."""
+    forms = {
+        "decl": "@@ type T; identifier X; expression E; @@\nT X = E;",
+        "expr": "@@ expression E, X; @@\nE = alloc(X);",
+        "return": "@@ expression E; @@\nreturn E;",
+        "break": "@@ @@\nbreak;",
+        "while": "@@ statement S; @@\nwhile (...) S",
+        "free": "@@ expression E; @@\nfree(E)",
+    }
+    program = _program(spark, d)
+    cases = program.terms.join(program.graph.nodes.where("kind = 'case'").select("graph_id", "node_id"), ["graph_id", "node_id"])
+    rows = [
+        _keyed(M.match(program.terms, M.head("f", "int a", "..."), ["f"]), F.lit("header").alias("element")),
+        _keyed(program.graph.nodes.where("kind = 'if'"), F.lit("if").alias("element")),
+        _keyed(M.match(cases, M.pattern("C"), ["C"], {"C": ("constant",)}, root=True), F.lit("case").alias("element")),
+        *[_keyed(matches(program, text).bindings(), F.lit(name).alias("element")) for name, text in forms.items()],
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+# Edits
+_CHANGE = """@@ expression E; @@
+- free(E);
++ release(E);
++ E = NULL;
+"""
+_CHECK = """@@ expression E, X; @@
+  E = alloc(X);
++ check(E);
+"""
+_MARK = """@@ expression E, F; @@
+* use(E, F);
+  ...
+  free(E);
+"""
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """The body of each file's function, line by line, without indentation."""
+    line = F.posexplode(F.split("text", "\n")).alias("n", "value")
+    return texts.select(F.col("file").cast("long").alias("k"), line).select("k", "n", F.trim("value").alias("line"))
+
+
+def _edited(spark, d, text: str, **how) -> DataFrame:
+    texts = _files(spark, d).withColumnRenamed("path", "file")
+    found: Matches = matches(_program(spark, d), text, **how)
+    return _lines(R.applied(texts, found.edits(texts)))
+
+
+def _text_sql(body: str) -> str:
+    """SQL for the lines of the files whose bodies are given by an expression, alloc's line by another."""
+    return f""", t AS (SELECT k, m, '#include <stdlib.h>\nint g;\n' || CASE WHEN k % 50 = 0 THEN 'void broken( {{ if; }}\n' ELSE '' END || 'int f' || k || '(int a, struct s *p) {{\n  int x = ' || (k % 9) || ';\n  p = alloc(a);\n  ' || CASE m {" ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(BODIES))} END || '\n  return x;\n}}\n' AS text FROM o),
+  u AS (SELECT k, string_split({body}, chr(10)) AS a FROM (SELECT k, m, replace(text, '\n', chr(10)) AS text FROM t))
+  SELECT k, CAST(i - 1 AS INTEGER) AS n, trim(a[i]) AS line FROM (SELECT k, a, unnest(generate_series(1, len(a))) AS i FROM u)"""
+
+
+@query(_text_sql("replace(text, 'free(p);', 'release(p);' || chr(10) || 'p = NULL;')"))
+def q_minus(spark, d):
+    """Each free becomes a release and a reset."""
+    return _edited(spark, d, _CHANGE)
+
+
+@query(_text_sql("replace(text, 'p = alloc(a);', 'p = alloc(a);' || chr(10) || 'check(p);')"))
+def q_plus(spark, d):
+    """A check after each allocation."""
+    return _edited(spark, d, _CHECK)
+
+
+@query(" SELECT k, CAST(CASE WHEN k % 50 = 0 THEN 7 ELSE 6 END AS INTEGER) AS line FROM o WHERE m IN (2, 5)")
+def q_star(spark, d):
+    """The lines of uses that a free follows on some path."""
+    return _keyed(matches(_program(spark, d), _MARK, exists=True).marked(), "line")

@@ -6,7 +6,8 @@ What doesn't parse at the top level is kept as an opaque element and doesn't sto
 
 Each function is a graph. Kinds of nodes: top, header, open, close, decl, expr, empty, if, true, false, after, fall, while, do, dowhile, for,
 inloop, loopfall, switch, case, default, break, continue, return, goto, label, exit, errorexit. An `if` leads to true and to
-false or fall, and by a Control edge to after; a loop to inloop and loopfall, and by a Control edge to after.
+false or fall, and by a Control edge to after; a loop to inloop and loopfall, and by a Control edge to after. Nodes and terms that stand in the text have its
+part from start (0-based) to stop; a node's line is that of its first token.
 """
 
 from __future__ import annotations
@@ -37,6 +38,11 @@ class Token:
     text: str
     line: int
     col: int
+    start: int = 0
+
+    @property
+    def stop(self) -> int:
+        return self.start + len(self.text)
 
 
 def lex(text: str) -> list[Token]:
@@ -45,7 +51,7 @@ def lex(text: str) -> list[Token]:
         m = _LEX.match(text, at)
         kind, value = (m.lastgroup, m[0]) if m else ("bad", text[at])
         if kind != "space":
-            out.append(Token(kind, value, line, at - start))
+            out.append(Token(kind, value, line, at - start, at))
         if "\n" in value:
             line += value.count("\n")
             start = at + value.rindex("\n") + 1
@@ -59,6 +65,7 @@ class Term:
     text: str
     parts: list[Term] = field(default_factory=list)
     op: str = ""
+    span: tuple[int, int] | None = None  # its first and last token
 
 
 class Parser:
@@ -77,24 +84,31 @@ class Parser:
         self.at += 1
         return self.tokens[self.at - 1]
 
+    def made(self, at: int, t: Term) -> Term:
+        t.span = t.span or (at, self.at - 1)
+        return t
+
     # Expressions
     def expression(self) -> Term:
+        at = self.at
         e = self.assignment()
         while self.peek() == ",":
             self.take()
-            e = Term("sequence", "", [e, self.assignment()], ",")
+            e = self.made(at, Term("sequence", "", [e, self.assignment()], ","))
             e.text = f"{e.parts[0].text}, {e.parts[1].text}"
         return e
 
     def assignment(self) -> Term:
+        at = self.at
         left = self.conditional()
         if self.peek() in _ASSIGN:
             op = self.take().text
             right = self.assignment()
-            return Term("assignment", f"{left.text} {op} {right.text}", [left, right], op)
+            return self.made(at, Term("assignment", f"{left.text} {op} {right.text}", [left, right], op))
         return left
 
     def conditional(self) -> Term:
+        at = self.at
         test = self.binary(0)
         if self.peek() != "?":
             return test
@@ -102,23 +116,25 @@ class Parser:
         a = self.expression()
         self.take(":")
         b = self.conditional()
-        return Term("conditional", f"{test.text} ? {a.text} : {b.text}", [test, a, b], "?")
+        return self.made(at, Term("conditional", f"{test.text} ? {a.text} : {b.text}", [test, a, b], "?"))
 
     def binary(self, level: int) -> Term:
         if level == len(_LEVELS):
             return self.unary()
+        at = self.at
         left = self.binary(level + 1)
         while self.peek() in _LEVELS[level]:
             op = self.take().text
             right = self.binary(level + 1)
-            left = Term("binary", f"{left.text} {op} {right.text}", [left, right], op)
+            left = self.made(at, Term("binary", f"{left.text} {op} {right.text}", [left, right], op))
         return left
 
     def unary(self) -> Term:
+        at = self.at
         if self.peek() in ("!", "-", "+", "~", "*", "&", "++", "--"):
             op = self.take().text
             e = self.unary()
-            return Term("unary", f"{op}{e.text}", [e], op)
+            return self.made(at, Term("unary", f"{op}{e.text}", [e], op))
         if self.peek() == "sizeof":
             self.take()
             self.take("(")
@@ -126,10 +142,11 @@ class Parser:
             while self.peek() != ")":
                 inner.append(self.take().text)
             self.take(")")
-            return Term("sizeof", f"sizeof({' '.join(inner)})")
+            return self.made(at, Term("sizeof", f"sizeof({' '.join(inner)})"))
         return self.postfix()
 
     def postfix(self) -> Term:
+        at = self.at
         t = self.take()
         if t.text == "(":
             e = self.expression()
@@ -142,6 +159,7 @@ class Parser:
         else:
             raise SyntaxProblem(f"{t.text!r} isn't expected")
         while True:
+            self.made(at, e)
             op = self.peek()
             if op == "(":
                 self.take()
@@ -159,7 +177,8 @@ class Parser:
                 e = Term("index", f"{e.text}[{i.text}]", [e, i])
             elif op in (".", "->"):
                 self.take()
-                e = Term("member", f"{e.text}{op}{self.peek()}", [e, Term("ident", self.take().text)], op)
+                e = Term("member", f"{e.text}{op}{self.peek()}", [e, Term("ident", self.peek(), span=(self.at, self.at))], op)
+                self.take()
             elif op in ("++", "--"):
                 self.take()
                 e = Term("postfix", f"{e.text}{op}", [e], op)
@@ -177,6 +196,8 @@ class _Node:
     labels: tuple[int, ...] = ()
     outer: tuple[int, ...] | None = None
     term: Term | None = None
+    start: int | None = None
+    stop: int | None = None
 
 
 class Builder(Parser):
@@ -195,16 +216,18 @@ class Builder(Parser):
         self.around: list[tuple[int, ...]] = []
         self.returns: list[int] = []
 
-    def node(self, kind: str, before: list[int], text: str = "", term: Term | None = None, brace: int | None = None, outer: tuple[int, ...] | None = None) -> int:
-        line = self.tokens[min(self.at, len(self.tokens) - 1)].line
-        n = _Node(len(self.nodes), kind, line, text, brace, self.path, outer, term)
+    def node(self, kind: str, before: list[int], text: str = "", term: Term | None = None, brace: int | None = None, outer: tuple[int, ...] | None = None, at: int | None = None) -> int:
+        """at: the node's first token; its last one is what was read last. Without it, the node isn't in the text."""
+        line = self.tokens[min(self.at if at is None else at, len(self.tokens) - 1)].line
+        span = (None, None) if at is None else (self.tokens[at].start, self.tokens[self.at - 1].stop)
+        n = _Node(len(self.nodes), kind, line, text, brace, self.path, outer, term, *span)
         self.nodes.append(n)
         self.edges |= {(b, n.id, "Direct") for b in before}
         return n.id
 
-    def function(self, header: str, name: Term) -> None:
+    def function(self, header: str, name: Term, start: int | None = None) -> None:
         top = self.node("top", [])
-        head = self.node("header", [top], header, name)
+        head = self.node("header", [top], header, name, at=start)
         ends = self.block([head])
         exit_ = self.node("exit", [*ends, *self.returns])
         self.edges.add((exit_, exit_, "Direct"))
@@ -217,7 +240,7 @@ class Builder(Parser):
         self.take("{")
         self.braces += 1
         brace, own = self.braces, self.path
-        ends = [self.node("open", before, "{", brace=brace)]
+        ends = [self.node("open", before, "{", brace=brace, at=self.at - 1)]
         k = 0
         while self.peek() != "}":
             self.path = (*own, k)
@@ -225,7 +248,7 @@ class Builder(Parser):
             k += 1
         self.take("}")
         self.path = own
-        return [self.node("close", ends, "}", brace=brace)]
+        return [self.node("close", ends, "}", brace=brace, at=self.at - 1)]
 
     def condition(self) -> Term:
         self.take("(")
@@ -241,20 +264,20 @@ class Builder(Parser):
         return ends
 
     def statement(self, before: list[int]) -> list[int]:
-        t = self.peek()
+        t, at = self.peek(), self.at
         if t == "{":
             return self.block(before)
         if t == ";":
             self.take()
-            return [self.node("empty", before, ";")]
+            return [self.node("empty", before, ";", at=at)]
         if t == "if":
             self.take()
             e = self.condition()
-            head = self.node("if", before, f"if ({e.text})", e)
+            head = self.node("if", before, f"if ({e.text})", e, at=at)
             yes = self.inner([self.node("true", [head])], 0)
             if self.peek() == "else":
                 self.take()
-                no = self.inner([self.node("false", [head])], 1)
+                no = self.inner([self.node("false", [head], at=self.at - 1)], 1)
             else:
                 no = [self.node("fall", [head])]
             after = self.node("after", [*yes, *no])
@@ -264,7 +287,7 @@ class Builder(Parser):
             self.take()
             if t == "while":
                 e = self.condition()
-                head = self.node("while", before, f"while ({e.text})", e)
+                head = self.node("while", before, f"while ({e.text})", e, at=at)
             else:
                 self.take("(")
                 parts = []
@@ -272,7 +295,7 @@ class Builder(Parser):
                     parts.append(Term("none", "") if self.peek() == stop else self.expression())
                     self.take(stop)
                 e = Term("for", "; ".join(p.text for p in parts), parts)
-                head = self.node("for", before, f"for ({e.text})", e)
+                head = self.node("for", before, f"for ({e.text})", e, at=at)
             inloop, fall = self.node("inloop", [head]), self.node("loopfall", [head])
             ends, left = self.loop(inloop)
             self.edges |= {(n, head, "Direct") for n in ends}
@@ -281,13 +304,14 @@ class Builder(Parser):
             return [after]
         if t == "do":
             self.take()
-            head = self.node("do", before, "do")
+            head = self.node("do", before, "do", at=at)
             inloop = self.node("inloop", [head])
             ends, left = self.loop(inloop)
+            at = self.at
             self.take("while")
             e = self.condition()
             self.take(";")
-            tail = self.node("dowhile", ends, f"while ({e.text})", e)
+            tail = self.node("dowhile", ends, f"while ({e.text})", e, at=at)
             self.edges.add((tail, inloop, "Direct"))
             fall = self.node("loopfall", [tail])
             after = self.node("after", [fall, *left])
@@ -301,31 +325,31 @@ class Builder(Parser):
             stack = self.breaks if t == "break" else self.continues
             if not stack:
                 raise SyntaxProblem(f"{t} outside")
-            n = self.node(t, before, f"{t};", outer=self.around[-1])
+            n = self.node(t, before, f"{t};", outer=self.around[-1], at=at)
             stack[-1].append(n)
             return []
         if t == "return":
             self.take()
             e = None if self.peek() == ";" else self.expression()
             self.take(";")
-            self.returns.append(self.node("return", before, f"return {e.text};" if e else "return;", e))
+            self.returns.append(self.node("return", before, f"return {e.text};" if e else "return;", e, at=at))
             return []
         if t == "goto":
             self.take()
             label = self.take().text
             self.take(";")
-            self.gotos.append((self.node("goto", before, f"goto {label};"), label))
+            self.gotos.append((self.node("goto", before, f"goto {label};", at=at), label))
             return []
         if self.at + 1 < len(self.tokens) and self.tokens[self.at].kind == "name" and self.peek(1) == ":":
             label = self.take().text
             self.take(":")
-            self.marks[label] = self.node("label", before, f"{label}:")
+            self.marks[label] = self.node("label", before, f"{label}:", at=at)
             return self.statement([self.marks[label]])
         if t in _TYPES or self.tokens[self.at].kind == "name" and (self.tokens[self.at + 1].kind == "name" or self.peek(1) == "*" and self.tokens[self.at + 2].kind == "name" and self.peek(3) in ("=", ";", ",")):
             return self.declaration(before)
         e = self.expression()
         self.take(";")
-        return [self.node("expr", before, f"{e.text};", e)]
+        return [self.node("expr", before, f"{e.text};", e, at=at)]
 
     def loop(self, start: int) -> tuple[list[int], list[int]]:
         """Ends that go round again, and those that leave by break."""
@@ -337,13 +361,14 @@ class Builder(Parser):
         return ends + self.continues.pop(), self.breaks.pop()
 
     def switch(self, before: list[int]) -> list[int]:
+        at = self.at
         self.take("switch")
         e = self.condition()
-        head = self.node("switch", before, f"switch ({e.text})", e)
+        head = self.node("switch", before, f"switch ({e.text})", e, at=at)
         self.take("{")
         self.braces += 1
         brace, own = self.braces, self.path
-        open_ = self.node("open", [head], "{", brace=brace)
+        open_ = self.node("open", [head], "{", brace=brace, at=self.at - 1)
         self.breaks.append([])
         self.around.append(own)
         ends: list[int] = []
@@ -351,36 +376,39 @@ class Builder(Parser):
         while self.peek() != "}":
             self.path = (*own, k)
             k += 1
+            at = self.at
             if self.peek() == "case":
                 self.take()
                 value = self.conditional()
                 self.take(":")
-                ends = [self.node("case", [open_, *ends], f"case {value.text}:", value)]
+                ends = [self.node("case", [open_, *ends], f"case {value.text}:", value, at=at)]
             elif self.peek() == "default":
                 self.take()
                 self.take(":")
                 default = True
-                ends = [self.node("default", [open_, *ends], "default:")]
+                ends = [self.node("default", [open_, *ends], "default:", at=at)]
             else:
                 ends = self.statement(ends)
         self.take("}")
+        last = self.at - 1
         self.path = own
         self.around.pop()
         fall = [] if default else [self.node("fall", [open_])]
-        close = self.node("close", [*ends, *fall], "}", brace=brace)
+        close = self.node("close", [*ends, *fall], "}", brace=brace, at=last)
         after = self.node("after", [close, *self.breaks.pop()])
         self.edges.add((head, after, "Control"))
         return [after]
 
     def declaration(self, before: list[int]) -> list[int]:
-        kind = []
+        start, kind = self.at, []
         while self.peek() in _TYPES or not kind or kind[-1] in ("struct", "union", "enum"):
             kind.append(self.take().text)
         parts = []
         while True:
-            stars = ""
+            stars, at = "", self.at
             while self.peek() == "*":
                 stars += self.take().text
+            here = self.at
             name = self.take()
             if name.kind != "name":
                 raise SyntaxProblem("a name is missing")
@@ -388,18 +416,18 @@ class Builder(Parser):
                 while self.take().text != "]":
                     pass
                 stars += "[]"
-            one = Term("declarator", name.text, [Term("ident", name.text), Term("type", " ".join(kind) + stars)])
+            one = Term("declarator", name.text, [Term("ident", name.text, span=(here, here)), Term("type", " ".join(kind) + stars)])
             if self.peek() == "=":
                 self.take()
                 one.parts.append(self.assignment())
-            parts.append(one)
+            parts.append(self.made(at, one))
             if self.take().text == ";":
                 break
             if self.tokens[self.at - 1].text != ",":
                 raise SyntaxProblem("; is missing")
-        whole = Term("declaration", " ".join(kind), parts)
+        whole = self.made(start, Term("declaration", " ".join(kind), parts))
         text = f"{' '.join(kind)} " + ", ".join(p.text + (f" = {p.parts[2].text}" if len(p.parts) > 2 else "") for p in parts) + ";"
-        return [self.node("decl", before, text, whole)]
+        return [self.node("decl", before, text, whole, at=start)]
 
 
 def elements(text: str) -> Iterator[tuple[str, str, int, Builder | None]]:
@@ -419,7 +447,7 @@ def elements(text: str) -> Iterator[tuple[str, str, int, Builder | None]]:
             params = [Term("param", p.strip()) for p in " ".join(t.text for t in head[k + 1 : -1]).split(",") if p.strip()]
             b = Builder(tokens, at)
             try:
-                b.function(" ".join(t.text for t in head), Term("header", name, [Term("ident", name), *params]))
+                b.function(" ".join(t.text for t in head), Term("header", name, [Term("ident", name, span=(start + k - 1, start + k - 1) if k else None), *params]), start)
                 yield "function", name, head[0].line, b
                 at = b.at
                 continue
@@ -440,9 +468,9 @@ def elements(text: str) -> Iterator[tuple[str, str, int, Builder | None]]:
 
 SCHEMA = (
     "path string, element int, kind string, name string, line int, "
-    "nodes array<struct<node_id:int,kind:string,line:int,text:string,brace:int,labels:array<int>,bclabels:array<int>>>, "
+    "nodes array<struct<node_id:int,kind:string,line:int,text:string,brace:int,labels:array<int>,bclabels:array<int>,start:int,stop:int>>, "
     "edges array<struct<src:int,dst:int,edge_kind:string>>, "
-    "terms array<struct<node_id:int,term_id:int,parent_id:int,ord:int,kind:string,op:string,text:string,in_test:boolean>>"
+    "terms array<struct<node_id:int,term_id:int,parent_id:int,ord:int,kind:string,op:string,text:string,in_test:boolean,start:int,stop:int>>"
 )
 
 
@@ -451,7 +479,8 @@ def _flat(b: Builder) -> list[tuple]:
 
     def walk(node: int, t: Term, parent: int | None, ord_: int, test: bool) -> None:
         own = len(out)
-        out.append((node, own, parent, ord_, t.kind, t.op, t.text, test))
+        span = (b.tokens[t.span[0]].start, b.tokens[t.span[1]].stop) if t.span else (None, None)
+        out.append((node, own, parent, ord_, t.kind, t.op, t.text, test, *span))
         for k, p in enumerate(t.parts):
             logical = test and (t.op in ("&&", "||", "!") or t.kind == "paren") or t.kind == "conditional" and k == 0 or t.kind == "for" and k == 1
             walk(node, p, own, k, logical)
@@ -473,7 +502,7 @@ def parsed(files: DataFrame) -> DataFrame:
             rows = []
             for path, text in zip(pdf["path"], pdf["text"]):
                 for i, (kind, name, line, b) in enumerate(elements(text or "")):
-                    nodes = [(n.id, n.kind, n.line, n.text, n.brace, list(n.labels), list(n.outer) if n.outer is not None else None) for n in b.nodes] if b else None
+                    nodes = [(n.id, n.kind, n.line, n.text, n.brace, list(n.labels), list(n.outer) if n.outer is not None else None, n.start, n.stop) for n in b.nodes] if b else None
                     rows.append((path, i, kind, name, line, nodes, sorted(b.edges) if b else None, _flat(b) if b else None))
             yield pd.DataFrame(rows, columns=names)
 
