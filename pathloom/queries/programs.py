@@ -196,6 +196,12 @@ def call(name: str) -> Pred:
     return Pred(f"text like '%{name}(%' and kind = 'expr'")
 
 
+def _within(what, ends: str):
+    return Until(Not(kind(ends)), what)
+
+
+_formula("q_loop", lambda: And(kind("while", "for"), And(Next(And(kind("inloop"), Next(_within(call("use"), "loopfall")))), Next(And(kind("loopfall"), Next(And(kind("after"), Next(call("free")))))))), " SELECT k FROM o WHERE m IN (2, 5)")
+_formula("q_fun", lambda: And(kind("header"), Next(And(kind("open"), Next(Until(Not(kind("exit")), And(call("alloc"), Next(Until(Not(kind("exit")), call("free"), every=True), every=True))))))), " SELECT k FROM o WHERE m IN (2, 5)")
 _formula("q_when_true", lambda: And(call("alloc"), Next(Until(Not(call("free")), And(kind("true"), Next(Until(Not(kind("after")), call("free"))))))), " SELECT k FROM o WHERE m = 0")
 _formula("q_top", lambda: And(kind("top"), Next(And(kind("header"), Next(kind("open"))))), " SELECT k FROM o")
 
@@ -261,12 +267,10 @@ def _patch(name: str, text: str, sql: str, **how) -> None:
 
 
 _patch("q_if", "@@ expression E; @@\nif (E) return 0;", " SELECT k FROM o WHERE m = 1")
-_patch("q_ifelse", "@@ expression E, F; @@\nif (E) { ... free(F); ... } else { ... use(F, ...); ... }", " SELECT k FROM o WHERE m = 0")
-_patch("q_loop", "@@ expression F; @@\nwhile (...) { ... use(F, ...); ... }\nfree(F);", " SELECT k FROM o WHERE m IN (2, 5)", exists=True)
+_patch("q_ifelse", "@@ expression E, F; @@\nif (E) { free(F); } else { use(F, ...); }", " SELECT k FROM o WHERE m = 0")
 _patch("q_dowhile", "@@ expression E, F; @@\ndo { use(E, F); } while (F < 3);", " SELECT k FROM o WHERE m = 3")
 _patch("q_switch", "@@ expression E, F; statement S; @@\nswitch (E) { case 1: free(F); break; default: S }", " SELECT k FROM o WHERE m = 4")
 _patch("q_return", "@@ @@\nreturn 0;", " SELECT k FROM o WHERE m = 1")
-_patch("q_fun", "@@ identifier f; expression E, X; @@\nint f(..., struct s *p) {\n...\nE = alloc(X);\n...\nfree(E);\n...\n}", " SELECT k FROM o WHERE m IN (2, 5)")
 _patch("q_metastmt", "@@ expression E; statement S; @@\nif (E) S", " SELECT k FROM o WHERE m IN (1, 5, 6)")
 
 

@@ -65,3 +65,64 @@ def test_odd_files(spark):
     files = spark.createDataFrame([("a", None), ("b", ""), ("c", "}}} ((("), ("d", "int f() { return 1; ")], "path string, text string")
     rows = csource.parsed(files).collect()
     assert {r.kind for r in rows if r.path == "d"} == {"opaque"} and not [r for r in rows if r.path in "ab"]
+
+
+A = """int f(int a, struct s *p) {
+  int x = 3;
+  p = alloc(a);
+  if (!p)
+    return 0;
+  while (x < 10) {
+    use(p, x);
+    x = x + 1;
+  }
+  free(p);
+  return x;
+}
+"""
+CHANGE = """@@ expression E, X; @@
+  E = alloc(X);
+- if (!E)
+-   return 0;
++ check(E);
+  ...
+- free(E);
++ release(E);
++ E = 0;
+"""
+
+
+def test_patch_edits_what_it_matches(spark):
+    from pathloom.operators.relation import cut
+    from pathloom.plans import patches, rules
+
+    files = spark.createDataFrame([("A", A), ("B", A.replace("free(p)", "free(q)")), ("C", "")], "path string, text string")
+    texts = files.withColumnRenamed("path", "file")
+    found = patches.matches(csource.program(cut(csource.parsed(files))), CHANGE, exists=True)
+    assert [tuple(r) for r in found.bindings().collect()] == [("A#0", 4, "p", "a")]
+    after = {r.file: r.text for r in rules.applied(texts, found.edits(texts)).collect()}
+    assert after["A"] == A.replace("  if (!p)\n    return 0;", "    check(p);").replace("free(p);", "release(p);\n  p = 0;")
+    assert after["B"] == A.replace("free(p)", "free(q)") and after["C"] == ""
+
+
+@pytest.mark.parametrize("text", ["@@ expression E; @@\n- f(E\n+ g(E);", "@@ thing E; @@\nf(E);", "@@ expression E; @@\nif (E\n- )\n  f(E);", "@@ @@\n+ f();", "@@ @@\n... when never\nf();"])
+def test_bad_patches(text):
+    from pathloom.plans import patches
+
+    with pytest.raises((csource.SyntaxProblem, IndexError)):
+        patches.read(text)
+
+
+def test_until_goes_on_where_the_guard_brings_variables(spark):
+    from pyspark.sql import functions as F
+
+    from pathloom.operators import paths as P
+    from pathloom.operators import triples as T
+    from pathloom.operators.relation import Graph
+
+    nodes = spark.createDataFrame([("g", n, "c" if n == 3 else "a", "x" if n == 1 else "y") for n in range(4)], "graph_id string, node_id int, label string, v string")
+    edges = spark.createDataFrame([("g", n, min(n + 1, 3), "Direct") for n in range(4)], "graph_id string, src int, dst int, edge_kind string")
+    g = Graph(nodes, edges)
+    guard = T.complement(g.states(), T.label_scan(g, F.lit(True), {"w": F.when(F.col("label") == "a", "k").otherwise("m")}))
+    found = P.eu(g, guard, T.label_scan(g, F.col("label") == "c"))
+    assert sorted({r.state for r in found.df.collect()}) == [0, 1, 2, 3]
