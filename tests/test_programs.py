@@ -126,3 +126,28 @@ def test_until_goes_on_where_the_guard_brings_variables(spark):
     guard = T.complement(g.states(), T.label_scan(g, F.lit(True), {"w": F.when(F.col("label") == "a", "k").otherwise("m")}))
     found = P.eu(g, guard, T.label_scan(g, F.col("label") == "c"))
     assert sorted({r.state for r in found.df.collect()}) == [0, 1, 2, 3]
+
+
+def test_functions_alike_but_for_their_names_are_looked_at_once(spark):
+    from pathloom.operators.relation import cut
+    from pathloom.plans.patches import matches
+
+    texts = {"A": A, "B": "int g;\n\n/* { */ " + A.replace("f(", "longer("), "C": A.replace("int f", "\n  int  h") + "int last;\n", "D": A.replace("use", "take")}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string").coalesce(1)
+    rows = cut(csource.parsed(files))
+    assert rows.where("kind = 'function'").count() == 4 and rows.where("nodes is not null").count() == 2
+    p = csource.program(rows)
+    assert p.once.graph.nodes.select("graph_id").distinct().count() == 2
+    places = {(r.graph_id.split("#")[0], r.node_id): r for r in p.graph.nodes.collect()}
+    terms = p.terms.where("start is not null").collect()
+    for path, text in texts.items():
+        b = next(b for _, _, _, b in csource.elements(text) if b)
+        for n in b.nodes:
+            r = places[path, n.id]
+            assert (r.kind, r.line, r.text, r.start, r.stop) == (n.kind, n.line, n.text, n.start, n.stop)
+        own = [t for t in terms if t.graph_id.startswith(path)]
+        assert own and all(text[t.start : t.stop] == t.text for t in own if t.kind == "ident")
+    found = {r.graph_id[0]: r.node_id for r in matches(p, "@@ expression E; @@\nuse(E, x);").bindings().collect()}
+    assert set(found) == {"A", "B", "C"}
+    heads = {r.graph_id[0] for r in matches(p, "@@ expression E; @@\nint h(...) { ... use(E, x); ... }", exists=True).bindings().collect()}
+    assert heads == {"C"}
