@@ -17,6 +17,13 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return rows.select("path", "length")
 
 
+def tables(spark: SparkSession, path: str, suffix: str = ".parquet") -> DataFrame:
+    """name: of each table in a folder, be it one file or a folder of files. Files below are no tables of their own."""
+    root = re.sub("/+", "/", re.sub(r"^\w[\w+.-]*:(//[^/]*)?", "", path) + "/")
+    below = F.element_at(F.split("path", re.escape(root), 2), 2)
+    return files(spark, path).select(F.substring_index(below, "/", 1).alias("name")).where(F.col("name").endswith(suffix)).distinct()
+
+
 def texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

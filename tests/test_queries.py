@@ -26,3 +26,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 76
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tables_are_files_or_folders(spark, tmp_path):
+    from pathloom.sources import scans
+
+    spark.range(4).write.parquet(str(tmp_path / "x.parquet" / "a" / "orders.parquet"))
+    spark.range(4).repartition(3).write.parquet(str(tmp_path / "x.parquet" / "a" / "events.parquet"))
+    part = next((tmp_path / "x.parquet" / "a" / "orders.parquet").glob("part-*.parquet"))
+    (tmp_path / "x.parquet" / "a" / "region.parquet").write_bytes(part.read_bytes())
+    (tmp_path / "x.parquet" / "a" / "notes.txt").write_text("no table")
+    for path in (tmp_path / "x.parquet" / "a", f"file://{tmp_path}/x.parquet/a/"):
+        assert sorted(r.name for r in QUERIES["scan_files"](spark, str(path)).collect()) == ["events.parquet", "orders.parquet", "region.parquet"]
