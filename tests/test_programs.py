@@ -151,3 +151,31 @@ def test_functions_alike_but_for_their_names_are_looked_at_once(spark):
     assert set(found) == {"A", "B", "C"}
     heads = {r.graph_id[0] for r in matches(p, "@@ expression E; @@\nint h(...) { ... use(E, x); ... }", exists=True).bindings().collect()}
     assert heads == {"C"}
+
+
+def test_files_alike_but_for_names_are_parsed_once(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    heads = ["int {n}(int a, struct s *p) {b}", "static struct s *{n}(void)\n{b}", "int x; long {n}(int if_) {b}", "  int {n}(int a) {b}", "/* é\nint {n}(int a) { */ int g;", 'char *s = "\nint {n}(a) {";', "int {n}(int a) { if; }", "void {n}( {{ if; }}", "éint {n}(int a) {b}", "int {n}(int a /* ( */) {b}", "int g_{n};"]
+    bodies = ["{ return a; }", "{\n  free(p);\n}", "{\nelse_(x);\nelse if (a) { b(); }\n}", "{\nint inner(a) { return 1; }\n}", "{\nreturn call(a) {\n}"]
+    names = ["f", "longer_name", "x9", "whiles"]
+    texts = {f"t{i}": "#include <a>\n" + "\n".join(rnd.choice(heads).replace("{n}", rnd.choice(names)).replace("{b}", rnd.choice(bodies)) for _ in range(rnd.randint(0, 4))) for i in range(300)} | {"none": None}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    p = csource.read(files)
+    found: dict = {}
+    for r in p.elements.collect():
+        found.setdefault(r.path, []).append((r.element, r.kind, r.name, r.line))
+    for path, text in texts.items():
+        assert sorted(found.get(path, [])) == [(i, k, n, line) for i, (k, n, line, _) in enumerate(csource.elements(text or ""))]
+    direct = csource.program(csource.parsed(files))
+    for a, b in ((p.graph.nodes, direct.graph.nodes), (p.graph.edges, direct.graph.edges), (p.terms, direct.terms)):
+        ours, theirs = (sorted(map(str, df.select(*a.columns).collect())) for df in (a, b))
+        assert ours == theirs and ours
+    given = []
+    monkeypatch.setattr(csource, "_all_rows", lambda files, outlines, f=csource._all_rows: given.append(files) or f(files, outlines))
+    alike = spark.range(500).select(F.col("id").cast("string").alias("path"), F.concat(F.lit("int g;\nint f"), "id", F.lit("(int a) { return a; }\n")).alias("text"))
+    assert csource.read(alike).graph.nodes.where("kind = 'return'").count() == 500
+    assert [g.count() for g in given] == [1]
