@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import collect_garbage, drop, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -24,14 +24,18 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (a != b, any type that orders and joins), best a stored table. Gives node, component (the component's least node); nodes without edges don't occur.
 
-    Each round is a table in the shared folder; rounds grow with the logarithm of the longest path. Only a count and a sum of
+    Each round is a table in the shared folder, deleted after the next; rounds grow with the logarithm of the longest path. Only a count and a sum of
     hashes of each round reach the driver.
     """
-    mark, now = None, edges.select("a", "b").where("a <> b")
+    mark, last, now = None, None, edges.select("a", "b").where("a <> b")
     while True:
         now = stored(_small(_large(now)).where("a <> b").distinct(), "stars")
+        if last is not None:
+            drop(last)
+        last = now
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break
         mark = new
+    collect_garbage(edges.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, stored, table
+from .common import collect_garbage, drop, free_names, stored, table
 from .components import components
 
 #: ASCII characters that are neither letters nor digits.
@@ -201,7 +201,10 @@ def groups(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY)
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes, "c")
         texts = stored(_texts(docs, wanted.select("c", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"))), f"{name}-texts")
-        return stored(_check(pairs, texts, similarity), name)
+        links = stored(_check(pairs, texts, similarity), name)
+        drop(pairs, texts)
+        collect_garbage(docs.sparkSession)
+        return links
 
     def grown(group: DataFrame | None, links: DataFrame) -> DataFrame:
         edges = links if group is None else group.where("c <> g").select(F.col("c").alias("a"), F.col("g").alias("b")).union(links)

@@ -627,3 +627,17 @@ def test_numbered(spark):
         assert found[v] == (seen[g], total)
         seen[g] += 1
         total += v
+
+
+def test_rounds_leave_one_table(spark):
+    from pathlib import Path
+
+    from pathloom.llm.common import shared_dir, stored
+    from pathloom.llm.components import components
+
+    edges = stored(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), "chain-edges")
+    there = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")) / "pathloom"
+    before = set(there.glob("stars-*"))
+    found = components(edges)
+    assert len(set(there.glob("stars-*")) - before) == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(i, 0) for i in range(41)]
