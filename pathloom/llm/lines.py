@@ -198,17 +198,22 @@ def groups(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY)
     stars = met.join(centres, "key").where("c <> centre").select(F.least("centre", "c").alias("a"), F.greatest("centre", "c").alias("b"))
     pairs = stored(buckets.where("members = 2").select(F.col("first").alias("a"), F.col("last").alias("b")).union(stars).distinct(), "line-pairs")
 
+    # The first pairs hold every class that shares a block with another, so these texts do for all rounds.
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes, "c")
+    texts = stored(_texts(docs, wanted.select("c", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"))), "line-texts")
+    collect_garbage(docs.sparkSession)
+
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes, "c")
-        texts = stored(_texts(docs, wanted.select("c", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.pos").alias("pos"))), f"{name}-texts")
         links = stored(_check(pairs, texts, similarity), name)
-        drop(pairs, texts)
+        drop(pairs)
         collect_garbage(docs.sparkSession)
         return links
 
     def grown(group: DataFrame | None, links: DataFrame) -> DataFrame:
         edges = links if group is None else group.where("c <> g").select(F.col("c").alias("a"), F.col("g").alias("b")).union(links)
-        return stored(components(edges).select(F.col("node").alias("c"), F.col("component").alias("g")), "line-groups")
+        out = stored(components(edges).select(F.col("node").alias("c"), F.col("component").alias("g")), "line-groups")
+        drop(links, *[group] * (group is not None))
+        return out
 
     group = grown(None, checked(pairs, "line-links"))
     for _ in range(ROUNDS):
@@ -224,6 +229,7 @@ def groups(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY)
         more = checked(rest, "more-line-links")
         if not more.isEmpty():
             group = grown(group, more)
+    drop(texts, buckets, met)
     return group.select("c", F.col("g").alias("group"))
 
 
@@ -234,11 +240,14 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.any_value("n").alias("size"), F.any_value("keys").alias("keys"))
     # Classes are numbered in the stored table; nothing but the order of comparisons hangs on the numbers.
     classes = stored(classes.select(F.monotonically_increasing_id().alias("c"), "h1", "h2", "n", "size", "first", "keys"), "line-classes")
+    places = stored(rows.select("h1", "h2", "k1", "k2", "pos"), "line-places")  # the keys are most of the table
+    drop(rows)
+    collect_garbage(docs.sparkSession)
     joined = classes.drop("keys").join(groups(docs, classes, similarity), "c", "left").where("n > 1 or group is not null").select("h1", "h2", "first", F.coalesce("group", "c").alias("group"))
     joined = stored(joined, "line-repeats")
     best = joined.groupBy("group").agg(F.min("first").alias("best"))
     repeated = joined.join(best, "group").select("h1", "h2", F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"), F.col("best.pos").alias("bp"))
-    gone = rows.drop("keys").join(repeated, ["h1", "h2"]).where("k1 <> b1 or k2 <> b2 or pos <> bp")
+    gone = places.join(repeated, ["h1", "h2"]).where("k1 <> b1 or k2 <> b2 or pos <> bp")
     return gone.groupBy("k1", "k2").agg(F.collect_list("pos").alias("gone"))  # a document's own lines
 
 

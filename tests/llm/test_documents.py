@@ -455,6 +455,28 @@ def test_op3_large_buckets_are_compared_completely(spark):
     assert kept == set(range(0, 120, 2)), max(sizes.values())
 
 
+def test_op3_makes_texts_once(spark, monkeypatch):
+    """However many rounds a large bucket takes, documents are read for its texts once, and wide tables don't stay."""
+    from pathlib import Path
+
+    from pathloom.llm.common import shared_dir
+
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage = words(150)
+    texts = [" ".join([*words(40), *passage]) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + " more"])), "doc_id long, text string")
+    there = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")) / "pathloom"
+    before, made, checks = set(there.glob("line*")), [], []
+    texts_of, check = lines._texts, lines._check
+    monkeypatch.setattr(lines, "_texts", lambda *a: made.append(a) or texts_of(*a))
+    monkeypatch.setattr(lines, "_check", lambda *a: checks.append(a) or check(*a))
+    assert {r.doc_id for r in lines.deduplicated(docs).where("_n_dropped > 0").collect()} == {30}
+    assert len(checks) > 1 and len(made) == 1
+    left = {p.name.rsplit("-", 1)[0] for p in set(there.glob("line*")) - before}
+    assert not left & {"lines", "line-texts", "line-members", "line-buckets"} and "line-places" in left
+
+
 def test_op3_settles_each_two_of_a_bucket(spark):
     """Of a bucket of many classes, all pairs that are in different groups by then are compared."""
     rng = random.Random(7)
