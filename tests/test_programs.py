@@ -179,3 +179,62 @@ def test_files_alike_but_for_names_are_parsed_once(spark, monkeypatch):
     alike = spark.range(500).select(F.col("id").cast("string").alias("path"), F.concat(F.lit("int g;\nint f"), "id", F.lit("(int a) { return a; }\n")).alias("text"))
     assert csource.read(alike).graph.nodes.where("kind = 'return'").count() == 500
     assert [g.count() for g in given] == [1]
+
+
+def test_a_return_without_value_fits_the_last_brace_where_it_is_absent(spark):
+    from pathloom.operators.relation import cut
+    from pathloom.plans import patches, rules
+
+    bodies = {
+        "falls": "  foo();",
+        "empty": "",
+        "some ways": "  if (a)\n    return;\n  foo();",
+        "no way": "  if (a) { return; } else { return; }",
+        "value": "  return 1;",
+        "nested": "  { foo(); }",
+        "nested return": "  { { return 1; } }",
+        "branch": "  if (a) { foo(); }",
+        "loop": "  do { return 1; } while (a);",
+        "cases": "  switch (a) { case 1: return 1; break; default: foo(); }",
+        "dead": "  return 1;\n  foo();",
+        "back": "  again: foo();\n  goto again;",
+    }
+    texts = {k: f"void f(int a) {{\n{b}\n}}\n" for k, b in bodies.items()}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    program = csource.program(cut(csource.parsed(files)))
+    nodes = {(r.graph_id, r.node_id): r.kind for r in program.graph.nodes.collect()}
+
+    def found(text, **how):
+        out = {}
+        for r in patches.matches(program, text, **how).bindings().collect():
+            out.setdefault(r.graph_id.split("#")[0], []).append(nodes[r.graph_id, r.node_id])
+        return {k: sorted(v) for k, v in out.items()}
+
+    ends = {"falls": ["close"], "empty": ["close"], "some ways": ["close", "return"], "no way": ["return"] * 2, "nested": ["close"] * 2, "branch": ["close"], "cases": ["close"], "dead": ["close"]}
+    assert found("@@ @@\nreturn;") == ends
+    assert set(found("@@ @@\nreturn 1;")) == {"value", "nested return", "loop", "cases", "dead"}
+    before = {k: found(f"@@ @@\nfoo();\n{line}return;").keys() for k, line in {"next": "", "gap": "...\n"}.items()}
+    assert before == {"next": {"falls", "nested", "some ways", "dead"}, "gap": {"falls", "nested", "some ways", "branch", "cases", "dead"}}
+
+    def edited(text):
+        t = files.withColumnRenamed("path", "file")
+        return {r.file: r.text for r in rules.applied(t, patches.matches(program, text).edits(t)).collect()}
+
+    after = edited("@@ @@\n- return;\n+ bar();")
+    assert after["falls"] == "void f(int a) {\n  foo();\nbar();\n}\n"
+    assert after["some ways"] == "void f(int a) {\n  if (a)\n    bar();\n  foo();\nbar();\n}\n"
+    assert all(after[k] == texts[k] for k in texts if k not in ends)
+    assert edited("@@ @@\n+ bar();\nreturn;")["falls"] == edited("@@ @@\nreturn;\n+ bar();")["falls"] == after["falls"]
+    removed = edited("@@ @@\n- return;")
+    assert removed["falls"] == texts["falls"] and removed["some ways"] == "void f(int a) {\n  if (a)\n  foo();\n}\n"
+    marked = patches.matches(program, "@@ @@\n* return;").marked().collect()
+    assert {(r.graph_id.split("#")[0], r.line) for r in marked} >= {("falls", 3), ("some ways", 3), ("some ways", 5)}
+
+
+def test_q_return_finds_functions_whose_return_is_absent(spark, monkeypatch):
+    from pathloom.queries import programs
+
+    bodies = ["foo();", "return 0;", "return x;", "if (x) return; foo();", "if (x) return 0; foo();", "return; foo();", "if (x) { return 1; } else { return 2; }"]
+    files = spark.createDataFrame([(str(k), f"int f{k}(int x) {{\n  {b}\n}}\n") for k, b in enumerate(bodies)], "path string, text string")
+    monkeypatch.setattr(programs, "_files", lambda spark, d: files)
+    assert sorted(r.k for r in programs.QUERIES["q_return"](spark, "").collect()) == [0, 1, 3, 4, 5]
